@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txweave.llm import media, mixing, packing, quality_rules, simhash
+from txweave.llm import media, mixing, packing, quality_rules, simhash, substring
 from txweave.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
@@ -41,7 +46,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_source_mixing, op5_simhash_near_dedup, op9_best_fit_packing, op10_media_columns)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_source_mixing, op5_simhash_near_dedup, op9_best_fit_packing, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
