@@ -65,19 +65,20 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     chars = lambda pattern: F.length(F.regexp_replace(t, pattern, "")).cast("long")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_RE))
-    one = docs.withColumns({"_words": words(F.col(text)), "_lines": lines})
-    counted = one.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": chars(SPACE_RE),
-            "n_symbols": chars(r"[^#*$%&|<>]+"),
-            "_upper": chars(r"\P{Lu}+"),
-            "_shout": chars(r"[^!]+"),
-            "_n_lines": F.size("_lines"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_words")).cast("long"),
-        }
+    # Bound in a lambda and put through a generator, so no optimizer rule copies them into other expressions, where
+    # they would be computed anew for each use.
+    counts = lambda w, x: F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        chars(SPACE_RE).alias("word_chars"),
+        chars(r"[^#*$%&|<>]+").alias("n_symbols"),
+        chars(r"\P{Lu}+").alias("_upper"),
+        chars(r"[^!]+").alias("_shout"),
+        F.size(x).alias("_n_lines"),
+        (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        _repeat_words(w).cast("long").alias("n_repeat_words"),
     )
+    each = F.transform(F.array(F.struct(words(F.col(text)).alias("w"), lines.alias("x"))), lambda p: counts(p["w"], p["x"]))
+    counted = docs.select("*", F.inline(each))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     return counted.withColumns(
         {
@@ -90,7 +91,7 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
             "stratum": sum((F.when(F.col("n_words") > b, 1).otherwise(0) for b in BANDS), F.lit(0)),
         }
-    ).drop("_words", "_lines", "_upper", "_shout", "_n_lines")
+    ).drop("_upper", "_shout", "_n_lines")
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
