@@ -75,5 +75,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_source_mixing, op4_quality_classifier, op5_simhash_near_dedup, op6_pii, op7_suffix_array_dedup, op8_url_filters, op9_best_fit_packing, op10_media_columns)}
 
 
+#: Words of all texts in rows; windows of 35 as joined strings, counted over all documents.
+OP1_SQL = r"""
+WITH lists AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM lists WHERE len(w) > 0),
+win AS (SELECT doc_id, n, i, word, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS s FROM w),
+marked AS (SELECT doc_id, n, i, word, i + 34 <= n AND count(*) FILTER (WHERE i + 34 <= n) OVER (PARTITION BY s) > 1 AS twice FROM win),
+gone AS (SELECT doc_id, i, word, coalesce(max(CAST(twice AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) = 1 AS out FROM marked),
+docs AS (SELECT doc_id, count(*) FILTER (WHERE out) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT out) AS kept FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM lists LEFT JOIN docs USING (doc_id)
+"""
+
+
+def _op2_sql() -> str:
+    """The counts, metrics, exact binomial tails and corrected cutoffs of the quality rules."""
+    rules = quality_rules.RULES
+    grid = ", ".join(f"('{r}', CAST({c} AS DOUBLE))" for r, c in quality_rules.tests_grid())
+    alpha, delta, bands = quality_rules.ALPHA, quality_rules.DELTA, quality_rules.BANDS
+    tried = len(quality_rules.tests_grid()) * (len(bands) + 1)
+    metric = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in rules) + " END"
+    stratum = " + ".join(f"CASE WHEN n_words > {b} THEN 1 ELSE 0 END" for b in bands)
+    return rf"""
+WITH lists AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS x FROM documents),
+w AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM lists WHERE len(w) > 4),
+win AS (SELECT doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM w),
+twice AS (SELECT doc_id, i, i + 4 <= n AND count(*) FILTER (WHERE i + 4 <= n) OVER (PARTITION BY doc_id, s) > 1 AS again FROM win),
+cover AS (SELECT doc_id, max(CAST(again AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c FROM twice),
+rep AS (SELECT doc_id, sum(c) AS n FROM cover GROUP BY doc_id),
+base AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(x) - len(list_distinct(x)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(x) AS n_lines,
+  length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS upper_chars, length(regexp_replace(t, '[^!]+', '', 'g')) AS shouts FROM lists LEFT JOIN rep USING (doc_id)),
+m AS (SELECT *, coalesce(n_symbols / nullif(CAST(word_chars AS DOUBLE), 0), 0) AS symbol_share, coalesce(n_dup_lines / nullif(CAST(n_lines AS DOUBLE), 0), 0) AS dup_line_share,
+  coalesce(n_repeat_words / nullif(CAST(n_words AS DOUBLE), 0), 0) AS repeat_share, coalesce(upper_chars / nullif(CAST(word_chars AS DOUBLE), 0), 0) AS upper_share,
+  coalesce(shouts / nullif(CAST(word_chars AS DOUBLE), 0), 0) AS shout_share, coalesce(word_chars / nullif(CAST(n_words AS DOUBLE), 0), 0) AS mean_word,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {stratum} AS stratum FROM base),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+held AS (SELECT m.* FROM m JOIN good USING (doc_id) WHERE NOT base_failed),
+grid(rule, cutoff) AS (VALUES {grid}),
+tests AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE {metric} > cutoff) AS k FROM held, grid GROUP BY ALL),
+tails AS (SELECT *, CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1),
+  lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))) END AS tail FROM tests),
+cuts AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tails WHERE tail <= {delta} / {tried} GROUP BY ALL),
+bad AS (SELECT DISTINCT doc_id FROM m JOIN cuts USING (stratum) WHERE {metric} > cutoff)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": OP1_SQL, "op2_quality_rules": _op2_sql()}
