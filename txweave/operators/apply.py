@@ -64,3 +64,10 @@ def batches(rows: DataFrame, order: str, size: int = 50_000) -> DataFrame:
     """`rows` with batch: write batches of fixed size in the order of a distinct whole number."""
     out = prefixes(rows, [], order, {"_n": ("count", F.lit(1))})
     return out.withColumn("batch", F.floor(F.col("_n") / size).cast("long")).drop("_n")
+
+
+def last_wins_map(rows: DataFrame, by: list[str], key: str, value: str, order: str) -> DataFrame:
+    """One map for each group; the last value of a repeated key stays, nulls included."""
+    last = rows.groupBy(*by, key).agg(F.max_by(F.struct(value), order).alias("_v"))
+    entries = F.sort_array(F.collect_list(F.struct(F.col(key), F.col(f"_v.{value}"))))
+    return last.groupBy(*by).agg(F.map_from_entries(entries).alias("entries"))

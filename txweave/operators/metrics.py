@@ -57,3 +57,8 @@ def overload(reports: DataFrame, threshold: float = OVERLOAD_MS, least: int = LE
     stages = each.groupBy("stage").agg(F.count(F.lit(1)).alias("reports"), F.sort_array(F.collect_list("p90")).alias("_all"))
     median = F.get("_all", F.floor(F.size("_all") / 2).cast("int"))
     return stages.where(F.col("reports") >= least).select("stage", "reports", median.alias("median_p90"), (median > threshold).alias("overloaded"))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """A metric's figures as CSV with a header."""
+    rows.write.mode("overwrite").csv(path, header=True)

@@ -49,3 +49,8 @@ def seek_or_start(log: DataFrame, ts: Column) -> DataFrame:
 def replay(commit_log: DataFrame, saved: int) -> DataFrame:
     """tx_id committed after the saved frontier; from the start, if nothing was saved."""
     return commit_log.where(F.col("tx_id") > saved).select("tx_id").distinct()
+
+
+def reconciled(frontier: int, bound: int) -> bool:
+    """Has the frontier reached the last id of the hole, so that consumers may go on?"""
+    return frontier >= bound

@@ -54,3 +54,9 @@ def patterned(position: Column, pattern: list[int], period: int = PERIOD) -> Col
 def retry_delay(attempt: int, delay_ms: int = 1000, multiplier: float = 1.0) -> float:
     """Milliseconds to wait before the n-th retry."""
     return delay_ms * attempt * multiplier
+
+
+def without_oldest(moves: DataFrame) -> DataFrame:
+    """Each account's transactions but its oldest. moves: tx_id, from_account."""
+    oldest = moves.groupBy("from_account").agg(F.min("tx_id").alias("_oldest"))
+    return moves.join(oldest, "from_account").where("tx_id > _oldest").drop("_oldest")

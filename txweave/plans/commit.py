@@ -48,3 +48,11 @@ def in_chunks(planned: DataFrame, size: int) -> DataFrame:
     """reader_id, chunk, tx_ids: the same in lists of bounded size, each over a range of ids."""
     ranged = planned.withColumn("chunk", F.floor(F.col("tx_id") / size).cast("long"))
     return ranged.groupBy("reader_id", "chunk").agg(F.sort_array(F.collect_list("tx_id")).alias("tx_ids"))
+
+
+def joined_responses(first: DataFrame, second: DataFrame) -> DataFrame:
+    """reader_id, tx_ids of two answers, the second's behind the first's."""
+    other = second.select("reader_id", F.col("tx_ids").alias("_more"))
+    none = F.array().cast("array<bigint>")
+    out = first.join(other, "reader_id", "full")
+    return out.select("reader_id", F.concat(F.coalesce("tx_ids", none), F.coalesce("_more", none)).alias("tx_ids"))

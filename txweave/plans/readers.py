@@ -103,3 +103,8 @@ def mark_committed(reads: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFr
     by = done.select("tx_id", F.col("reader_id").alias("committer"))
     remove = reads.join(by, "tx_id").where("committer <> reader_id").select("reader_id", "tx_id").distinct()
     return left, remove
+
+
+def retained(assigned: DataFrame, now: DataFrame) -> DataFrame:
+    """State of the topic partitions still assigned to this reader."""
+    return assigned.join(now.select("topic_partition").distinct(), "topic_partition", "left_semi")

@@ -306,11 +306,6 @@ def _multi(spark, sf_dir):
     return o.unionByName(parts).distinct()
 
 
-@query(f"WITH RECURSIVE {_MULTI}, w AS (SELECT DISTINCT tx_id, CAST(0 AS BIGINT) AS wave FROM t UNION SELECT e.tx_id, wave + 1 FROM w JOIN e ON e.prev_tx = w.tx_id) SELECT tx_id, max(wave) AS wave FROM w GROUP BY tx_id")
-def dependency_waves_multikey(spark, sf_dir):
-    return conflict.waves(_multi(spark, sf_dir))
-
-
 @query(f"""WITH {_SCOPE} SELECT DISTINCT tx_id FROM (SELECT tx_id, reader_id, min(reader_id) OVER w AS lo, max(reader_id) OVER w AS hi FROM t
     WINDOW w AS (PARTITION BY cache, key ORDER BY tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE lo <> reader_id OR hi <> reader_id""")
 def reader_conflicts(spark, sf_dir):
@@ -670,6 +665,17 @@ def account_balance(spark, sf_dir):
     return workload.balances(workload.transfers(_table(spark, sf_dir, "orders"), 1000, F.col("o_orderkey")))
 
 
+@query(f"WITH {_MOVES} SELECT tx_id, a AS from_account FROM m WHERE tx_id > (SELECT min(tx_id) FROM m o WHERE o.a = m.a)")
+def without_oldest(spark, sf_dir):
+    return workload.without_oldest(workload.transfers(_table(spark, sf_dir, "orders"), 1000, F.col("o_orderkey"))).select("tx_id", "from_account")
+
+
+@query("SELECT user_id, CAST(count(DISTINCT event_type) AS BIGINT) AS entries, arg_max(value, event_id) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY user_id")
+def last_wins_map(spark, sf_dir):
+    out = apply.last_wins_map(_table(spark, sf_dir, "events"), ["user_id"], "event_type", "value", "event_id")
+    return out.select("user_id", F.size("entries").cast("long").alias("entries"), F.try_element_at("entries", F.lit("view")).alias("view"))
+
+
 @query("""SELECT 'independent' AS shape, o_orderkey AS tx_id, o_orderkey AS key FROM orders UNION ALL SELECT 'pairs', o_orderkey, o_orderkey FROM orders
     UNION ALL SELECT 'pairs', o_orderkey, o_orderkey + 1 FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'total', o_orderkey, 0 FROM orders""")
 def workload_scopes(spark, sf_dir):
