@@ -347,7 +347,7 @@ def test_packing(docs, empty):
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(score):
     lengths = np.sort(np.random.default_rng(1).integers(1, 900, 400))[::-1]
-    caps = (1000, 4, 400_000)
+    caps = (1000, 4, 850_000)
     which, offset = packing.best_fit(lengths, caps, (1.0, 0.5, 0.5), score)
     for b in np.unique(which):
         own = lengths[which == b]

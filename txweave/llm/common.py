@@ -16,6 +16,10 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
+#: Estimates from here on are no estimates: rows that come from no file, or products of joins.
+UNKNOWN_BYTES = 1 << 50
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,9 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's bytes: for file scans the size of the files."""
+    """The input's bytes: Catalyst's estimate, which is the size of the files for scans; counted where there is none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(size, 1 << 60)
+    if size < UNKNOWN_BYTES:
+        return size
+    return int(df.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0)
 
 
 def pieces_for(df: DataFrame, piece_bytes: int, least: int = 1) -> int:

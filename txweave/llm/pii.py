@@ -34,6 +34,7 @@ from txweave.llm.trees import Boosted, boost
 KINDS = ["email", "ip", "card", "phone", "secret", "number"]
 SAMPLE_BYTES = 24 << 20
 SAMPLE_CANDIDATES = 20_000
+N_FEATURES = 18
 PRECISION = 0.95
 CONFIDENCE = 0.95
 
@@ -242,7 +243,7 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_candidates: in
 
     some = docs.where(near & F.col("text").isNotNull()).select("text", F.xxhash64("text", F.lit(66)).alias("h"))
     found = some.mapInArrow(run, "h long, i int, x array<double>, y int").dropDuplicates(["h", "i"]).orderBy("h", "i").limit(sample_candidates).toArrow()
-    x = np.array(found.column("x").to_pylist(), float).reshape(found.num_rows, -1)
+    x = np.array(found.column("x").to_pylist(), float).reshape(found.num_rows, N_FEATURES)
     return train(x, found.column("y").to_numpy().astype(float))
 
 
