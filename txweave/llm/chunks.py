@@ -45,8 +45,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        n = max(n, 1 << 16)
-        have = np.full(n, base, np.uint64)
+        have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         _POWERS[base] = have = np.cumprod(have, dtype=np.uint64)
     return have[:n]
