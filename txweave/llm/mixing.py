@@ -71,7 +71,7 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tup
 
 def systematic(docs: DataFrame, buckets: int | None = None, carry: bool = False, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, copies of each row of `docs`; carry: also _row, the whole row."""
-    buckets = buckets or pieces_for(docs, BUCKET_BYTES)
+    buckets = buckets or pieces_for(docs, BUCKET_BYTES, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     narrow = cut(sized(docs, buckets))
     rows = sized(docs, buckets, True) if carry else narrow
     counts = narrow.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
