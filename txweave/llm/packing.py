@@ -30,7 +30,7 @@ END = 0
 #: where they are set lower.
 CAPACITIES = (CAPACITY, CAPACITY, CAPACITY * CAPACITY)
 WEIGHTS = (1.0, 0.05, 0.05)
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 SPECIAL = {"<|endoftext|>": 50256}
 
 
