@@ -1,11 +1,12 @@
 """Streams end in the state that one batch over the whole log gives."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from txweave.operators import apply
 from txweave.sources import log, model
 from txweave.streaming.apply import LogApplier
-from txweave.streaming.heartbeats import liveness
+from txweave.streaming.heartbeats import beat
 
 
 def changes(spark, ids):
@@ -19,8 +20,8 @@ def test_micro_batches_equal_one_batch(spark, tmp_path):
         nested = model.nested(changes(spark, [t])).withColumn("offset", F.lit(n).cast("long"))
         log.append_log(nested.coalesce(1), f"{tmp_path}/log", 1)
     applier = LogApplier(spark, f"{tmp_path}/state")
-    query = applier.start(log.stream_log(spark, f"{tmp_path}/log", 2), f"{tmp_path}/check", available_now=True)
-    query.awaitTermination(120)
+    query = applier.start(log.stream_log(spark, f"{tmp_path}/log", 5), f"{tmp_path}/check", available_now=True)
+    assert query.awaitTermination(60)
     assert query.exception() is None and applier.last()[1] == 9
     expected = apply.live(changes(spark, range(10))).select("cache", "key", "tx_id", "value")
     assert sorted(applier.table().select("cache", "key", "tx_id", "value").collect()) == sorted(expected.collect())
@@ -29,10 +30,32 @@ def test_micro_batches_equal_one_batch(spark, tmp_path):
     assert applier.last() == before
 
 
-def test_readers_are_found(spark, tmp_path):
-    spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "reader_id string, ts long").coalesce(1).write.parquet(f"{tmp_path}/beats")
-    stream = spark.readStream.schema("reader_id string, ts long").parquet(f"{tmp_path}/beats")
-    query = liveness(stream).writeStream.outputMode("update").format("memory").queryName("liveness").start()
-    query.processAllAvailable()
-    query.stop()
-    assert sorted(map(tuple, spark.sql("SELECT * FROM liveness").collect())) == [("a", "found", 2), ("b", "found", 1)]
+class State:
+    """A reader's state as the stream would hand it over."""
+
+    def __init__(self):
+        self.value, self.exists, self.hasTimedOut, self.timeout = None, False, False, None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.exists = value, True
+
+    def remove(self):
+        self.value, self.exists = None, False
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_readers_are_found_lost_and_found_again():
+    state, rows = State(), pd.DataFrame({"reader_id": ["a", "a"], "ts": [1, 2]})
+    step = lambda: beat(("a",), iter([rows]), state, 60).iloc[0].tolist()
+    assert step() == ["a", "found", 2] and state.timeout == 60_000
+    assert step() == ["a", "alive", 4]
+    state.hasTimedOut = True
+    assert beat(("a",), iter([]), state, 60).iloc[0].tolist() == ["a", "lost", 4] and not state.exists
+    state.hasTimedOut = False
+    assert step() == ["a", "found", 2]
