@@ -255,11 +255,16 @@ def _class_keys(data: np.ndarray, starts: np.ndarray, window: int):
     values = data.astype(np.uint64) + np.uint64(1)
     a = mix(Rolling(values, BASES[0]).of(first, first + window), 11)
     b = mix(Rolling(values, BASES[1]).of(first, first + window), 12).astype(np.uint16)
-    many = np.bincount(number, minlength=n) > 1
-    order = np.argsort(a, kind="stable")
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    return a[order], b[order], many[order], place[number]
+    keys, _, place = chunks.distinct(a)
+    extra = np.zeros(len(keys), np.uint16)
+    extra[place] = b
+    place = place[number]
+    return keys, extra, np.bincount(place, minlength=len(keys)) > 1, place
+
+
+def _class_places(data: np.ndarray, starts: np.ndarray, window: int):
+    """The same keys, many and places from the hashes alone: the sort has been verified, and is not repeated."""
+    return chunks.distinct(mix(Rolling(data.astype(np.uint64) + np.uint64(1), BASES[0]).of(starts, starts + window), 11))
 
 
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -315,7 +320,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         raw = np.frombuffer(answers.filter(own).column("data")[0].as_py(), np.uint8)
         again, other = np.unpackbits(raw, count=2 * len(a)).reshape(-1, 2).astype(bool).T
         data, starts, of, shift = _contested(parts, first[other], window)
-        keys, _, more, at = _class_keys(data, starts, window)
+        keys, more, at = _class_places(data, starts, window)
         yes = (more | chunks.read_answers(answers.filter(pc.invert(own)), keys, ~more, n))[at]
         yes &= ~again[place[of]] if len(of) else yes  # those runs recur throughout and are covered below
         single = np.concatenate([p.runs.begin for p in parts])[of[yes]] + shift[yes]
