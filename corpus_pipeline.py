@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txweave.llm import mixing, packing, pii, quality_rules, simhash
+from txweave.llm import mixing, near_copies, packing, pii, quality_rules
 from txweave.llm.common import checkpoint_dir, table
 
 
@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

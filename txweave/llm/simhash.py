@@ -192,11 +192,16 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return fps.join(by_fp, fps["fp"] == by_fp["f"]).select("doc_id", "text_hash", "fp", F.col("least.doc_id").alias("component_id"), first.alias("first"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row of the least doc_id (one, if repeated)."""
+def rows_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of `docs` with a (doc_id, text_hash) of `firsts`, repeated ones once."""
     key = lambda doc_id, text_hash: F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text_hash.cast("string"))
-    keep = simhash_components(docs).where("first").select(key(F.col("doc_id"), F.col("text_hash")).alias("_key")).distinct()
+    keep = firsts.select(key(F.col("doc_id"), F.col("text_hash")).alias("_key")).distinct()
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), key(F.col("doc_id"), F.xxhash64("text")).alias("_key"))
     rows = keyed.join(keep, "_key", "left_semi")
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))).where("_nth = 1")
     return rows.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component the row of the least doc_id (one, if repeated)."""
+    return rows_of(docs, simhash_components(docs).where("first"))
