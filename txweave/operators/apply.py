@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txweave.operators.closure import closure
-from txweave.operators.conflict import KEY, dependency_edges
+from txweave.operators.conflict import KEY
 from txweave.operators.prefix import prefixes
 
 
@@ -50,7 +50,7 @@ def successful_prefix(txs: DataFrame, failed: DataFrame) -> DataFrame:
 
 def surviving(scope: DataFrame, failed: DataFrame) -> DataFrame:
     """Parallel commits: tx_id of everything but failed ones and their transitive dependents."""
-    dead = closure(failed, dependency_edges(scope))
+    dead = closure(failed, scope)
     return scope.select("tx_id").distinct().join(dead, "tx_id", "left_anti")
 
 

@@ -1,4 +1,4 @@
-"""What is reached from a set of transactions along dependency edges."""
+"""What is reached from a set of transactions along shared keys."""
 
 from __future__ import annotations
 
@@ -7,17 +7,30 @@ from pyspark.sql import functions as F
 
 from txweave.operators.state import cut
 
+_KEY = ["cache", "key"]
 
-def closure(start: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """tx_id of `start` and all its transitive dependents; edges: prev_tx -> tx_id.
 
-    Each round joins only the transactions that the last one reached first."""
-    edges = cut(edges.select("prev_tx", "tx_id").distinct())
+def closure(start: DataFrame, scope: DataFrame) -> DataFrame:
+    """tx_id of `start` and all its transitive dependents; scope: tx_id, cache, key, one row for each key it touches.
+
+    A transaction depends on every earlier one of its keys, so a key is closed by the least tx_id reached on it: all
+    later ones of the key are reached at once. Each round takes the keys of what the last one reached first, and rounds
+    count changes of key, not transactions; the loop ends as each round but the last reaches something new."""
+    scope = cut(scope.select(*_KEY, "tx_id").distinct())
     reached = fresh = cut(start.select("tx_id").distinct())
-    for _ in range(most_rounds):
-        step = edges.join(fresh.select(F.col("tx_id").alias("prev_tx")), "prev_tx").select("tx_id").distinct()
+    floors = None
+    while not fresh.isEmpty():
+        low = scope.join(fresh, "tx_id").groupBy(*_KEY).agg(F.min("tx_id").alias("low"))
+        if floors is None:
+            moved = low.withColumn("high", F.lit(None).cast("long"))
+            floors = low
+        else:
+            old = floors.withColumnRenamed("low", "high")
+            moved = low.join(old, _KEY, "left").where("high is null or low < high")
+            floors = floors.union(low).groupBy(*_KEY).agg(F.min("low").alias("low"))
+        moved, floors = cut(moved), cut(floors)
+        # From the old floor on everything has been reached.
+        step = scope.join(moved, _KEY).where("tx_id > low and (high is null or tx_id < high)").select("tx_id").distinct()
         fresh = cut(step.join(reached, "tx_id", "left_anti"))
-        if fresh.isEmpty():
-            return reached
         reached = cut(reached.union(fresh))
-    raise RuntimeError(f"not closed after {most_rounds} rounds")
+    return reached

@@ -477,7 +477,7 @@ def failure_closure_multikey(spark, sf_dir):
 @query(f"WITH RECURSIVE {_MULTI}, dead AS (SELECT tx_id FROM t WHERE tx_id % 50 = 0 UNION SELECT e.tx_id FROM dead d JOIN e ON e.prev_tx = d.tx_id) SELECT DISTINCT tx_id FROM dead")
 def blocked_closure(spark, sf_dir):
     scope = _multi(spark, sf_dir)
-    return closure.closure(scope.where("tx_id % 50 = 0").select("tx_id"), conflict.dependency_edges(scope))
+    return closure.closure(scope.where("tx_id % 50 = 0").select("tx_id"), scope)
 
 
 @query("SELECT event_id AS tx_id, CAST((row_number() OVER (ORDER BY event_id) - 1) // 500 AS BIGINT) AS batch FROM events WHERE event_type = 'purchase'")
