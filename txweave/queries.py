@@ -306,6 +306,12 @@ def _multi(spark, sf_dir):
     return o.unionByName(parts).distinct()
 
 
+def _whole(spark, sf_dir):
+    """All orders with all their line items."""
+    o = _orders(spark, sf_dir).select("tx_id", "reader_id", "cache", "key")
+    return o.unionByName(_lines(spark, sf_dir).join(o.select("tx_id"), "tx_id", "left_semi")).distinct()
+
+
 @query(f"""WITH {_SCOPE} SELECT DISTINCT tx_id FROM (SELECT tx_id, reader_id, min(reader_id) OVER w AS lo, max(reader_id) OVER w AS hi FROM t
     WINDOW w AS (PARTITION BY cache, key ORDER BY tx_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE lo <> reader_id OR hi <> reader_id""")
 def reader_conflicts(spark, sf_dir):
@@ -366,6 +372,15 @@ def plan_commit_multikey(spark, sf_dir):
     return commit.plan(*_live(spark, sf_dir))
 
 
+@query()
+def plan_commit_whole(spark, sf_dir):
+    """The plan of all live orders with all their line items; no SQL of it is registered."""
+    o = _orders(spark, sf_dir).where("status <> 'F'").withColumn("reader_id", F.col("tx_id") % 2)
+    scope = _whole(spark, sf_dir).join(o.select("tx_id"), "tx_id", "left_semi").select("tx_id", "cache", "key")
+    busy = (F.col("status") == "P") & (F.col("tx_id") % 10 == 0)
+    return commit.plan(scope, o.select("tx_id", "reader_id", busy.alias("in_progress"), F.lit(False).alias("lost"), F.lit(False).alias("orphan")))
+
+
 # --- readers ----------------------------------------------------------------------------------------------------------
 
 #: Every event is read once, every third a second time; reader 2 is lost, some records are orphans.
@@ -480,6 +495,19 @@ def blocked_closure(spark, sf_dir):
     return closure.closure(scope.where("tx_id % 50 = 0").select("tx_id"), scope)
 
 
+@query()
+def failure_closure_whole(spark, sf_dir):
+    """What survives failures over whole tables; no SQL of it is registered."""
+    scope = _whole(spark, sf_dir)
+    return apply.surviving(scope, scope.where("tx_id % 5000 = 0").select("tx_id"))
+
+
+@query()
+def blocked_closure_whole(spark, sf_dir):
+    scope = _whole(spark, sf_dir)
+    return closure.closure(scope.where("tx_id % 5000 = 0").select("tx_id"), scope)
+
+
 @query("SELECT event_id AS tx_id, CAST((row_number() OVER (ORDER BY event_id) - 1) // 500 AS BIGINT) AS batch FROM events WHERE event_type = 'purchase'")
 def write_batches(spark, sf_dir):
     return apply.batches(_events(spark, sf_dir).where("cache = 'purchase'").select("tx_id"), "tx_id", 500)
