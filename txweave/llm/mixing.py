@@ -3,10 +3,12 @@
 Every document of a source expects the same number of copies, target words / words of the source. In a fixed order
 within the source these expectations are summed up, one random offset is added, and a document is emitted once for
 each whole number its step of the sum crosses: a document gets floor or ceiling of its expectation, never more.
-The order is by bucket (a hash of the row), then by size, so every bucket is a systematic sample over all sizes.
+The order is by size, then by a hash of the row, so the words taken of a source miss its target by less than its
+longest text, and the draw depends on rows and seed only.
 
-The prefix sum takes two levels, so no task holds a source: counts by (source, bucket), summed in the small table of
-buckets, then row numbers within a bucket. The number of buckets follows the bytes of the input.
+The prefix sum takes levels, so no task holds a source: counts by (source, size), summed over ranges of sizes; counts by
+(source, size, bucket), a bucket being a range of the hash; then row numbers within a bucket. The number of buckets
+follows the input's bytes and the partitions, and sets the size of tasks alone.
 
 Only DataFrame functions are used. Edge cases: null, empty and blank texts have size 0 and may be taken without adding
 words; sources of no words get target 0 and no copies; a null source is a source of its own, the last one; repeated
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txweave.llm.common import WORD_RE, cut, pieces_for
+from txweave.operators.prefix import prefixes
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -28,17 +31,21 @@ SHARE = (3, 2)
 MOST = 2
 SEED = 20240607
 BUCKET_BYTES = 8 << 20
+#: Sizes in a range.
+SIZES = 256
 
 
 def sized(docs: DataFrame, buckets: int, carry: bool = False) -> DataFrame:
-    """doc_id, source, size in words, bucket and key (the source, never null, nulls last) of each row.
+    """doc_id, source, size in words, mix (a hash), bucket (the range of mix) and key (the source, never null, nulls
+    last) of each row.
 
     carry: also _row, the whole row."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_RE)).cast("long")
-    bucket = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(buckets)).cast("int")
+    mix = F.xxhash64("doc_id", "text", F.lit(SEED))
+    bucket = F.shiftright((F.shiftright(mix, 40) + F.lit(1 << 23)) * F.lit(buckets).cast("long"), 24).cast("int")
     key = F.when(F.col("source").isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col("source")))
     row = [F.struct(*docs.columns).alias("_row")] * carry
-    return docs.select("doc_id", "source", size.alias("size"), bucket.alias("bucket"), key.alias("key"), *row)
+    return docs.select("doc_id", "source", size.alias("size"), mix.alias("mix"), bucket.alias("bucket"), key.alias("key"), *row)
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, most: int = MOST) -> DataFrame:
@@ -74,12 +81,15 @@ def systematic(docs: DataFrame, buckets: int | None = None, carry: bool = False,
     buckets = buckets or pieces_for(docs, BUCKET_BYTES, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     narrow = cut(sized(docs, buckets))
     rows = sized(docs, buckets, True) if carry else narrow
-    counts = narrow.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    goal = targets(counts.groupBy("key").agg(F.sum("words").alias("source_size")), weights, share, most)
-    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).join(goal, "key")
-    inside = Window.partitionBy("key", "bucket").orderBy("size", "doc_id")
-    joined = rows.withColumn("rank", F.row_number().over(inside)).join(starts, ["key", "bucket"])
+    by_size = narrow.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n"))
+    goal = targets(by_size.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
+    below = prefixes(by_size, ["key"], "size", {"_below": ("sum", F.col("n"))}, SIZES).drop("n")
+    before = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = narrow.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select("key", "size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_within"))
+    starts = counts.join(below, ["key", "size"]).join(goal, "key").withColumn("start", F.col("_below") + F.col("_within"))
+    inside = Window.partitionBy("key", "size", "bucket").orderBy("mix", "doc_id")
+    joined = rows.withColumn("rank", F.row_number().over(inside)).join(starts, ["key", "size", "bucket"])
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     offset = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     crossed = lambda k: F.floor(k * F.col("rate") + F.col("offset"))
