@@ -46,6 +46,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
 _DIGITS = re.compile(r"[0-9]")
+_HEXA = frozenset("0123456789abcdefABCDEF")
 
 
 def luhn(digits: str) -> bool:
@@ -113,17 +114,17 @@ def _side(c: str) -> int:
 
 def _candidate(t: str, start: int, end: int, generator: int, strict: set[tuple[int, int]], by_kind: dict[tuple[int, int], int]) -> Candidate:
     s = t[start:end]
-    digits = sum(c in "0123456789" for c in s)
-    letters = sum(c.isalpha() for c in s)
+    counts = Counter(s)  # runs may be long: the rest goes by distinct characters
+    digits = sum(counts[c] for c in "0123456789")
+    letters = sum(n for c, n in counts.items() if c.isalpha())
     runs = [len(r) for r in re.findall(r"[0-9]+", s)]
     groups = re.findall(r"[0-9]{1,4}", s)[:16]
-    counts = Counter(s)
     entropy = -sum(n / len(s) * math.log2(n / len(s)) for n in counts.values())
     before = t[max(0, start - 24) : start]
     secret, contact = bool(SECRET_WORDS.search(before)), bool(CONTACT_WORDS.search(before))
-    hexa = all(c in "0123456789abcdefABCDEF" for c in s)
+    hexa = counts.keys() <= _HEXA
     features = [
-        len(s), digits, letters, sum(c.isupper() for c in s), len(s) - digits - letters, s.count("."), s.count("@"), max(runs, default=0),
+        len(s), digits, letters, sum(n for c, n in counts.items() if c.isupper()), len(s) - digits - letters, s.count("."), s.count("@"), max(runs, default=0),
         len(runs), hexa, len(counts), _side(t[start - 1 : start]), _side(t[end : end + 1]), 2 * secret + contact, s[0] == "+", entropy,
         sum(int(g) <= 255 for g in groups) / max(1, len(groups)), generator,
     ]
@@ -153,11 +154,11 @@ def candidates(t: str, base: list[tuple[int, int, int]]) -> list[Candidate]:
         at = t.find("@", at + 1)
     for k, pattern in ((1, _NUMBER), (2, _DOTTED), (3, _MIXED)):
         for m in pattern.finditer(t):
-            if k != 3 or m.end() - m.start() <= 512 and _DIGITS.search(m[0]):
+            if k != 3 or _DIGITS.search(m[0]):
                 found.setdefault((m.start(), m.end()), k)
     for i, j in strict:
         found.setdefault((i, j), 0 if "@" in t[i:j] else 2 if t.count(".", i, j) == 3 else 1)
-    return [_candidate(t, i, j, k, strict, by_kind) for (i, j), k in sorted(found.items()) if j - i <= 512]
+    return [_candidate(t, i, j, k, strict, by_kind) for (i, j), k in sorted(found.items())]
 
 
 # --- the model --------------------------------------------------------------------------------------------------------
