@@ -66,21 +66,21 @@ def kept_words(t, window, counts):
     return [x for x, g in zip(w, gone, strict=True) if not g], gone
 
 
-@pytest.mark.parametrize("window", [35, 6])
-def test_substring_dedup(docs, window):
+@pytest.mark.parametrize(("window", "limit"), [(35, 4096), (6, 4096), (35, 2), (6, 9)])
+def test_substring_dedup(docs, window, limit):
     counts = collections.Counter(tuple(w[i : i + window]) for _, t, *_ in messy() for w in [words(t)] for i in range(len(w) - window + 1))
     expected = []
     for d, t, *_ in messy():
         kept, gone = kept_words(t, window, counts)
         expected.append((d, len(gone), sum(gone), " ".join(kept)))
-    out = substring.repeated_passages(docs, window)
+    out = substring.repeated_passages(docs, window, limit)
     assert by_key((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()) == by_key(expected)
     for r in out.collect():
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
-@pytest.mark.parametrize(("window", "gram"), [(200, 48), (20, 8)])
-def test_suffix_dedup(docs, window, gram):
+@pytest.mark.parametrize(("window", "gram", "limit"), [(200, 48, 4096), (20, 8, 4096), (200, 48, 2), (20, 8, 9)])
+def test_suffix_dedup(docs, window, gram, limit):
     raw = [(d, (t or "").encode()) for d, t, *_ in messy()]
     counts = collections.Counter(b[i : i + window] for _, b in raw for i in range(len(b) - window + 1))
     expected = []
@@ -90,7 +90,7 @@ def test_suffix_dedup(docs, window, gram):
             if counts[b[s : s + window]] > 1:
                 gone[s : s + window] = True
         expected.append((d, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), np.frombuffer(b, np.uint8)[~gone].tobytes()))
-    out = suffixes.repeated_bytes(docs, window, gram).collect()
+    out = suffixes.repeated_bytes(docs, window, gram, limit).collect()
     assert by_key((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in out) == by_key(expected)
 
 
@@ -99,13 +99,47 @@ def test_suffix_sort_orders_like_bytes():
     for alphabet in (1, 2, 4):
         data = rng.integers(97, 97 + alphabet, 400).astype(np.uint8)
         starts = rng.permutation(380)
-        order = suffixes.merge_sort(suffixes.Text(data, 20, suffixes.BASES[0]), starts)
+        order = starts[suffixes.merge_sort(suffixes.Text(data, 20, suffixes.BASES[0]), starts)]
         raw = data.tobytes()
         assert [raw[i : i + 20] for i in order] == sorted(raw[i : i + 20] for i in starts)
+        group = rng.integers(0, 3, 380)
+        order = suffixes.merge_sort(suffixes.Text(data, 20, suffixes.BASES[0]), starts, group)
+        assert [(group[k], raw[starts[k] : starts[k] + 20]) for k in order] == sorted((group[k], raw[starts[k] : starts[k] + 20]) for k in range(380))
         number = suffixes.classes(data, starts, 20)
         assert all((number[a] == number[b]) == (raw[starts[a] : starts[a] + 20] == raw[starts[b] : starts[b] + 20]) for a in range(60) for b in range(60))
 
 
+def around(rng, n, make):
+    """Runs of 3 windows of 9 around one anchor, several equal in some windows only, as texts with weights."""
+    core = make(rng, 7)
+    sides = [(make(rng, 2), make(rng, 2)) for _ in range(3)]
+    return [(sides[rng.integers(3)][0], core, sides[rng.integers(3)][1]) for _ in range(n)]
+
+
+def test_the_sort_decides_what_recurs(monkeypatch):
+    rng = np.random.default_rng(5)
+    made = around(rng, 12, lambda r, n: r.integers(97, 123, n).astype(np.uint8).tobytes())
+    texts = sorted({b"".join(x) for x in made})
+    n = len(texts)
+    runs = suffixes.Texts(np.full(n, 7, np.uint64), np.full(n, 2), np.full(n, 3), np.ones(n, int), texts)
+    counts = collections.Counter((k, t[k : k + 9]) for t in texts for k in range(3))
+    expected = [counts[k, t[k : k + 9]] > 1 for t in texts for k in range(3)]
+    assert suffixes.decide(runs).tolist() == expected and 0 < sum(expected) < len(expected)
+    monkeypatch.setattr(suffixes, "merge_sort", lambda text, starts, group=None: np.arange(len(starts)))
+    assert suffixes.decide(runs).tolist() != expected
+
+
+def test_hits_are_extended_word_by_word():
+    rng = np.random.default_rng(6)
+    made = around(rng, 12, lambda r, n: b"".join(b"w%d " % k for k in r.integers(0, 1000, n)))
+    texts = sorted({b"".join(x) for x in made})
+    n = len(texts)
+    runs = substring.Texts(np.full(n, 7, np.uint64), np.full(n, 2), np.full(n, 3), np.ones(n, int), texts)
+    split = [t.split() for t in texts]
+    counts = collections.Counter(tuple(s[k : k + 9]) for s in split for k in range(3))
+    assert substring.decide(runs).tolist() == [counts[tuple(s[k : k + 9])] > 1 for s in split for k in range(3)]
+
+
 def test_quality_base_counts(docs, labels):
     expected = []
     for d, t, *_ in messy():

@@ -1,11 +1,11 @@
 """Asking a whole corpus about hashes with compact messages.
 
 Documents are dealt into chunks by a hash of the row. A chunk sorts its distinct hashes and sends each bucket (a range
-of hash values) one message: the hashes that fall there in order, which of them occur more than once in the chunk, and
-which it asks about. A bucket answers each message with one bit for every hash asked about: does it occur anywhere
-else? The chunk, whose rows and order are fixed, computes its hashes again and matches the bits by position. So a hash
-costs a few bytes on the way and a bit on the way back, common hashes cross once for each chunk, and no group of
-equal hashes is ever listed.
+of hash values) one message: the hashes that fall there in order, and how often each occurs in the chunk, roughly. A
+bucket answers with two bits for every hash: does it occur anywhere else, and does it occur very often? The chunk, whose
+rows and order are fixed, computes its hashes again and matches the bits by position. So a hash costs a few bytes on
+the way and two bits on the way back, common hashes cross once for each chunk, and no group of equal hashes is ever
+listed. Hashes only choose what is looked at: `repeats` decides by the texts themselves.
 
 Chunks grow with the root of the input's size, so messages stay longer than their headers at any size.
 """
@@ -22,8 +22,15 @@ from pyspark.sql import functions as F
 from txweave.llm.common import plan_bytes
 
 CHUNK_BYTES = 4 << 20
-MESSAGE = "chunk int, bucket int, data binary"
-SMALL_CORPUS = 1 << 36
+MESSAGE = "chunk int, bucket int, kind int, data binary"
+SCHEMA = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
+#: Bytes of a hash that cross. Two hashes that agree in these are looked at, and then found to differ.
+KEY_BYTES = 6
+#: Occurrences in one chunk that count as lots, and what a hash counts if it is there once, more often, or lots of times;
+#: from CROWDED on it is crowded.
+LOTS = 32
+WEIGHTS = (1, 8, 512)
+CROWDED = 4096
 
 MASK = (1 << 64) - 1
 #: Odd multipliers of the polynomial hashes.
@@ -68,14 +75,31 @@ class Rolling:
         return (self.sums[end] - self.sums[start]) * self.back[start]
 
 
-def with_chunk(docs: DataFrame) -> tuple[DataFrame, int, bool]:
-    """doc_id, text, chunk; the number of chunks, which is the number of buckets too; is the corpus small?"""
+def least_of_each(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For each `width` neighbours the place of the least hash, the leftmost if several.
+
+    Hashes are compared by their high 32 bits, so the answer depends on the neighbours alone."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    low = np.uint64(0xFFFFFFFF)
+    rows = -(-len(hashes) // width)
+    keyed = np.full(rows * width, np.uint64(MASK))
+    keyed[: len(hashes)] = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    table = keyed.reshape(rows, width)
+    ahead = np.minimum.accumulate(table, axis=1).ravel()
+    back = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & low).astype(np.int64)
+
+
+def with_chunk(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text, chunk; and the number of chunks, which is the number of buckets too."""
     size = plan_bytes(docs)
     spread = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(1, math.ceil(size / max(CHUNK_BYTES, 20 * math.sqrt(size))), min(spread, size >> 19))
     n = min(n, 1 << 24)
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    return docs.select("doc_id", "text", chunk.alias("chunk")), n, size < SMALL_CORPUS
+    return docs.select("doc_id", "text", chunk.alias("chunk")), n
 
 
 def ordered(table: pa.Table) -> pa.Table:
@@ -90,85 +114,69 @@ def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(keys, edges), len(keys)]
 
 
-def question(keys: np.ndarray, extra: np.ndarray | None, many: np.ndarray, ask: np.ndarray, width: int) -> bytes:
-    """Sorted keys cut to their high `width` bytes (extra: two more bytes each), flags many and ask."""
-    n = len(keys)
-    raw = keys.astype(">u8").view(np.uint8).reshape(n, 8)[:, :width]
-    more = extra.astype("<u2").tobytes() if extra is not None else b""
-    return n.to_bytes(4, "little") + bytes([width, extra is not None]) + raw.tobytes() + more + np.packbits(many).tobytes() + np.packbits(ask).tobytes()
-
-
-def _parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, width, extra = int.from_bytes(data[:4], "little"), data[4], data[5]
-    keys = np.zeros((n, 8), np.uint8)
-    keys[:, :width] = np.frombuffer(data, np.uint8, n * width, 6).reshape(n, width)
-    at = 6 + n * width
-    more = np.frombuffer(data, "<u2", n, at) if extra else np.zeros(n, "<u2")
-    at += 2 * n * extra
-    half = -(-n // 8)
-    many, ask = (np.unpackbits(np.frombuffer(data, np.uint8, half, at + k * half), count=n).astype(bool) for k in (0, 1))
-    return keys.view(">u8").ravel().astype(np.uint64), more, many, ask
-
-
-def recurs(keys: np.ndarray, more: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """For each row: does its key occur in another row, or more than once in its own?"""
-    order = np.lexsort((more, keys)) if more.any() else np.argsort(keys, kind="stable")
-    k, m = keys[order], more[order]
-    new = np.r_[True, (k[1:] != k[:-1]) | (m[1:] != m[:-1])] if len(k) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    size = np.diff(np.r_[first, len(k)])
-    hot = (size > 1) | (np.add.reduceat(many[order].astype(np.int64), first) > 0 if len(first) else np.zeros(0, bool))
-    out = np.empty(len(k), bool)
-    out[order] = np.repeat(hot, size)
-    return out
-
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each hash, any hash."""
+    return ((mix(hashes, 13) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-def answer(messages: DataFrame) -> DataFrame:
-    """chunk, bucket, data: for each message the bits of the keys it asks about, in order.
 
-    A message to a negative bucket is a chunk's note to itself and comes back unchanged."""
+def messages(chunk: int, buckets: np.ndarray, kind: int, data: list[bytes]) -> pa.Table:
+    n = len(data)
+    return pa.table([pa.array(np.full(n, chunk, np.int32)), pa.array(np.asarray(buckets, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(data, pa.binary())], schema=SCHEMA)
 
-    def run(group: pa.Table) -> pa.Table:
-        if group.column("bucket")[0].as_py() < 0:
-            return group
-        parts = [_parse(d) for d in group.column("data").to_pylist()]
-        keys, more, many, ask = (np.concatenate(x) for x in zip(*parts, strict=True))
-        hot = recurs(keys, more, many)
-        ends = np.cumsum([len(p[0]) for p in parts])
-        bits = [np.packbits(h[a]).tobytes() for h, a in zip(np.split(hot, ends[:-1]), np.split(ask, ends[:-1]), strict=True)]
-        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "data": pa.array(bits, pa.binary())})
 
-    return messages.groupBy("bucket").applyInArrow(run, MESSAGE)
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, how often each occurs, and the place of each input among them."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    place = np.empty(len(k), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return k[first], np.diff(np.r_[first, len(k)]), place
 
 
-def ask_all(chunk: int, keys: np.ndarray, extra: np.ndarray | None, many: np.ndarray, ask: np.ndarray, buckets: int, width: int) -> pa.Table:
-    """The messages of a chunk with sorted distinct keys."""
+def questions(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, kind: int) -> pa.Table:
+    """A message to each bucket that some of a chunk's sorted distinct keys fall in."""
     at = bounds(keys, buckets)
     full = np.flatnonzero(np.diff(at))
-    cut = lambda x, i: None if x is None else x[at[i] : at[i + 1]]
-    data = [question(cut(keys, i), cut(extra, i), cut(many, i), cut(ask, i), width) for i in full]
-    return pa.table({"chunk": pa.array(np.full(len(full), chunk, np.int32)), "bucket": pa.array(full.astype(np.int32)), "data": pa.array(data, pa.binary())})
+    raw = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    data = []
+    for i, j in zip(at[full], at[full + 1], strict=True):
+        data.append(b"".join([int(j - i).to_bytes(4, "little"), raw[i:j].tobytes(), np.packbits(counts[i:j] > 1).tobytes(), np.packbits(counts[i:j] >= LOTS).tobytes()]))
+    return messages(chunk, full, kind, data)
 
 
-def read_answers(answers: pa.Table, keys: np.ndarray, ask: np.ndarray, buckets: int) -> np.ndarray:
-    """For each of the keys of `ask_all`: was it answered with yes?"""
-    out = np.zeros(len(keys), bool)
-    at = bounds(keys, buckets)
-    for i, data in zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True):
-        own = np.flatnonzero(ask[at[i] : at[i + 1]]) + at[i]
-        out[own] = np.unpackbits(np.frombuffer(data, np.uint8), count=len(own)).astype(bool)
-    return out
+def _parse(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a question and what each counts."""
+    n = int.from_bytes(data[:4], "little")
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :KEY_BYTES] = np.frombuffer(data, np.uint8, n * KEY_BYTES, 4).reshape(n, KEY_BYTES)
+    half, at = -(-n // 8), 4 + n * KEY_BYTES
+    many, lots = (np.unpackbits(np.frombuffer(data, np.uint8, half, at + k * half), count=n) for k in (0, 1))
+    return keys.view(">u8").ravel().astype(np.uint64), np.array(WEIGHTS)[many + lots]
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, does each occur more than once, and the place of each input among them."""
+def answers(data: list[bytes], limit: int = CROWDED) -> list[bytes]:
+    """For each question of a bucket two bits a key: does it occur again, and does it count `limit` or more?"""
+    parts = [_parse(d) for d in data]
+    keys, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(keys, kind="stable")
     k = keys[order]
-    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    place = np.empty(len(k), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return k[first], np.diff(np.r_[first, len(k)]) > 1, place
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    total = np.add.reduceat(weight[order], first)
+    bits = np.empty((len(k), 2), bool)
+    bits[order] = np.repeat(np.stack([total > 1, total >= limit], axis=1), np.diff(np.r_[first, len(k)]), axis=0)
+    return [np.packbits(b).tobytes() for b in np.split(bits, np.cumsum([len(p[0]) for p in parts])[:-1])]
+
+
+def read_answers(table: pa.Table, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the keys of `questions`: does it occur again, is it crowded?"""
+    out = np.zeros((len(keys), 2), bool)
+    at = bounds(keys, buckets)
+    for i, data in zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True):
+        n = at[i + 1] - at[i]
+        out[at[i] : at[i + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=2 * n).reshape(n, 2)
+    return out[:, 0], out[:, 1]
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,16 +186,11 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Mask of n places covered by stretches of `width` from each start."""
-    change = np.zeros(n + 1, np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + width, -1)
+    """Mask of n places covered by stretches of `width` from each start; starts may be below 0, ends beyond n."""
+    change = np.bincount(np.clip(starts, 0, n), minlength=n + 1) - np.bincount(np.clip(starts + width, 0, n), minlength=n + 1)
     return np.cumsum(change[:n]) > 0
 
 
-def note(chunk: int, data: bytes) -> pa.Table:
-    """A chunk's note to itself, to be read with the answers."""
-    return pa.table({"chunk": pa.array([chunk], pa.int32()), "bucket": pa.array([-1 - chunk], pa.int32()), "data": pa.array([data], pa.binary())})
-
-
-NOTHING = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())]).empty_table()
+def spread(counts: np.ndarray) -> np.ndarray:
+    """0 .. count - 1 for each count, one after the other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)

@@ -1,15 +1,15 @@
 """Removal of repeated byte strings by a hash-compared suffix sort.
 
-Which suffixes can matter? Every window of 200 bytes has a minimizer, its least hash of 48 bytes (the leftmost, if
-several). Windows that are equal have it at the same place, so neighbouring windows with one minimizer make a run, and
-a window recurs only where its run's minimizer does. Runs whose whole text recurs are repeats throughout; runs whose
-minimizer recurs with another text around it are contested. Both questions are put to all chunks by `pair_answers`.
+Which suffixes can matter? Every window of 200 bytes has an anchor, its least hash of 48 bytes (the leftmost, if
+several). Windows that are equal have it at the same place, so neighbouring windows with one anchor make a run, and a
+window recurs only where its run's anchor does. The texts of those runs meet in the bucket of their anchor (`repeats`;
+equal texts once, with their number), whatever documents they come from.
 
-The contested suffixes of a chunk, one for each distinct run, are sorted: a merge sort whose comparisons find the
-common extension of two suffixes by binary search over prefix polynomial hashes, eight steps for 200 bytes, and then
-compare one byte. Neighbours in the order that share 200 bytes are one class; the bytes of all neighbours in a class
-are compared, and a collision repeats the sort with another base. One message for each class and chunk, with 80 bits
-of independent hashes, then finds the classes that occur in another chunk.
+There the suffixes of all runs are sorted, those of one anchor and place beside each other: a merge sort whose
+comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes, eight steps for
+200 bytes, and then compare one byte. Neighbours in the order that share 200 bytes are one class; the bytes of all
+neighbours in a class are compared, and a collision repeats the sort with another base. A class of more than one
+occurrence recurs, and nothing else decides what is removed.
 
 Edge cases: null and empty texts have no bytes; texts under 200 bytes stay whole; a text may repeat itself, with
 overlap; matches never cross documents; kept bytes may split a character, so they are binary; repeated rows are copies
@@ -19,19 +19,18 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from txweave.llm import chunks
-from txweave.llm.chunks import BASES, Rolling, mix, powers
+from txweave.llm.chunks import BASES, Rolling, mix, powers, spread
+from txweave.llm.repeats import Runs, Texts, recurring
 
 WINDOW = 200
 GRAM = 48
 PART_BYTES = 2 << 20
+PART_WINDOWS = 1 << 18
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -61,7 +60,7 @@ class Text:
             step >>= 1
         return low
 
-    def before(self, i: np.ndarray, j: np.ndarray, ties: bool) -> np.ndarray:
+    def before(self, i: np.ndarray, j: np.ndarray, ties: np.ndarray | bool) -> np.ndarray:
         """Does suffix i come before suffix j? ties: the answer for equal ones."""
         k = self.common(i, j)
         inner = np.minimum(k, self.depth - 1)
@@ -73,18 +72,21 @@ class Text:
         return all((self.data[i[a : a + 4096, None] + reach] == self.data[j[a : a + 4096, None] + reach]).all() for a in range(0, len(i), 4096))
 
 
-def merge_sort(text: Text, starts: np.ndarray) -> np.ndarray:
-    """`starts` in the order of their suffixes (over text.depth bytes), equal ones in their given order.
+def merge_sort(text: Text, starts: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Places of `starts` in the order of their group and suffix (over text.depth bytes), equal ones as given.
 
-    A first pass orders by the leading eight bytes; groups that tie are merge sorted, all groups side by side: blocks
+    A first pass orders by group and the leading eight bytes; what ties is merge sorted, all ties side by side: blocks
     double in width, and each suffix finds its place among the partner block's by binary search."""
     if len(starts) < 2:
-        return starts
+        return np.arange(len(starts))
     lead = text.data[starts[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
-    order = np.argsort(lead, kind="stable")
-    lead, out = lead[order], starts[order]
-    first = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])
-    size = np.diff(np.r_[first, len(out)])
+    order = np.argsort(lead, kind="stable") if group is None else np.lexsort((lead, group))
+    lead = lead[order]
+    new = lead[1:] != lead[:-1]
+    if group is not None:
+        new |= group[order][1:] != group[order][:-1]
+    first = np.flatnonzero(np.r_[True, new])
+    size = np.diff(np.r_[first, len(order)])
     width, live = 1, np.flatnonzero(size > 1)
     while len(live):
         g0, g = first[live], size[live]
@@ -95,259 +97,147 @@ def merge_sort(text: Text, starts: np.ndarray) -> np.ndarray:
         low = np.where(right, block - 1, block + 1) * width
         high = np.minimum(low + width, limit)
         low = np.minimum(low, high)
-        mine, begin = out[base + place], low.copy()
+        mine, begin = order[base + place], low.copy()
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
                 break
             mid = (low[open_] + high[open_]) >> 1
-            other = out[base[open_] + mid]
-            r = right[open_]
+            other, own, r = starts[order[base[open_] + mid]], starts[mine[open_]], right[open_]
             # Of the left block: count partners strictly before; of the right block: partners before or equal.
-            after = np.where(r, text.before(other, mine[open_], True), text.before(other, mine[open_], False))
+            after = text.before(other, own, r)
             low[open_] = np.where(after, mid + 1, low[open_])
             high[open_] = np.where(after, high[open_], mid)
         pair = (block - right) * width
-        out[base + pair + (place - block * width) + (low - begin)] = mine
+        order[base + pair + (place - block * width) + (low - begin)] = mine
         width *= 2
         live = live[g > width]
     # Blocks of a group are merged while it is wider than a block; a group of `width` or fewer is in order.
-    return out
+    return order
 
 
-def classes(data: np.ndarray, starts: np.ndarray, depth: int = WINDOW) -> np.ndarray:
-    """A number for each start: equal numbers for equal strings of `depth` bytes, by suffix sort, verified."""
+def classes(data: np.ndarray, starts: np.ndarray, depth: int = WINDOW, group: np.ndarray | None = None) -> np.ndarray:
+    """A number for each start: equal numbers for equal strings of `depth` bytes in one group, by suffix sort, verified."""
     for base in BASES + tuple(b ^ 0x5851F42D4C957F2C for b in BASES):
         text = Text(data, depth, base)
-        order = merge_sort(text, starts)
-        equal = text.common(order[:-1], order[1:]) >= depth
+        order = merge_sort(text, starts, group)
+        a, b = order[:-1], order[1:]
+        equal = text.common(starts[a], starts[b]) >= depth
+        if group is not None:
+            equal &= group[a] == group[b]
         at = np.flatnonzero(equal)
-        if text.same(order[at], order[at + 1]):
-            place = np.empty(len(data) + 1, np.int64)
-            place[order] = np.cumsum(np.r_[True, ~equal]) - 1 if len(order) else 0
-            return place[starts]
+        if text.same(starts[a[at]], starts[b[at]]):
+            number = np.empty(len(starts), np.int64)
+            number[order] = np.cumsum(np.r_[True, ~equal]) - 1 if len(order) else 0
+            return number
     raise RuntimeError("every base of the prefix hashes collides on these bytes")
 
 
-# --- runs of windows --------------------------------------------------------------------------------------------------
-
-
-class Runs(NamedTuple):
-    begin: np.ndarray  # first and last window start of each run, in the part
-    last: np.ndarray
-    anchor: np.ndarray  # hash of the minimizer
-    whole: np.ndarray  # hash of the run's text and the minimizer's place in it
+def decide(runs: Texts) -> np.ndarray:
+    """For each window of the runs: does it occur more than once? Windows of one anchor and place are sorted together."""
+    anchor = np.unique(runs.anchor, return_inverse=True)[1]
+    sizes = np.array([len(t) for t in runs.texts], np.int64)
+    run = np.repeat(np.arange(len(sizes)), runs.count)
+    shift = spread(runs.count)
+    starts = np.repeat(np.cumsum(sizes) - sizes, runs.count) + shift
+    group = (anchor[run] << 16) + runs.place[run] - shift + (1 << 15)
+    depth = int(sizes[0] - runs.count[0] + 1)
+    out = np.zeros(len(run), bool)
+    # Parts of whole anchors, so that the arrays of a sort stay small.
+    order = np.argsort(anchor, kind="stable")
+    total = np.cumsum(runs.count[order])
+    cuts = np.flatnonzero(np.r_[True, (total[1:] // PART_WINDOWS != total[:-1] // PART_WINDOWS)])
+    begin = np.searchsorted(anchor[order], anchor[order][cuts])
+    bounds = np.unique(np.r_[begin, len(order)])
+    first = np.cumsum(runs.count) - runs.count
+    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+        own = np.sort(order[i:j])
+        n = runs.count[own]
+        at = np.repeat(first[own], n) + spread(n)
+        data = np.frombuffer(b"".join([runs.texts[k] for k in own.tolist()]), np.uint8)
+        local = np.repeat(np.cumsum(sizes[own]) - sizes[own] - (np.cumsum(sizes) - sizes)[own], n)
+        number = classes(data, starts[at] + local, depth, group[at])
+        out[at] = np.bincount(number, runs.weight[run[at]])[number] > 1
+    return out
 
 
-def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of each `width` neighbours."""
-    n = len(values) - width + 1
-    rows = -(-len(values) // width)
-    full = np.full(rows * width, np.iinfo(values.dtype).max, values.dtype)
-    full[: len(values)] = values
-    table = full.reshape(rows, width)
-    ahead = np.minimum.accumulate(table, axis=1).ravel()
-    back = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+# --- runs of windows --------------------------------------------------------------------------------------------------
 
 
-class Part:
-    """Texts joined, with the runs of their windows."""
+class Bytes:
+    """A chunk's texts joined, with the runs of their windows."""
 
-    def __init__(self, texts: list[bytes], window: int, gram: int):
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.n = len(self.data)
+    def __init__(self, table: pa.Table, window: int, gram: int):
         self.window = window
-        none = np.zeros(0, np.int64)
-        self.runs = Runs(none, none, none.astype(np.uint64), none.astype(np.uint64))
-        if self.n < window:
-            return
-        rolled = Rolling(self.data.astype(np.uint64) + np.uint64(1), BASES[0])
-        at = np.arange(self.n - gram + 1)
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.data = b"".join(texts)
+        begin, count, place, anchor = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        ends = np.cumsum(self.sizes)
+        cuts = np.r_[-1, np.flatnonzero(np.diff(ends // PART_BYTES)), len(ends) - 1] if len(ends) else np.zeros(0, int)
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i < j:
+                low = int(ends[i]) if i >= 0 else 0
+                b, last, least, hashes = self._part(low, self.sizes[i + 1 : j + 1], gram)
+                begin.append(b + low), count.append(last - b + 1), place.append(least[b] - b), anchor.append(hashes)
+        self.begin, self.count, self.place, self.probes = (np.concatenate(x) for x in (begin, count, place, anchor))
+
+    def _part(self, low: int, sizes: np.ndarray, gram: int):
+        n = int(sizes.sum())
+        if n < self.window:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none.astype(np.uint64)
+        rolled = Rolling(np.frombuffer(self.data, np.uint8, n, low).astype(np.uint64) + np.uint64(1), BASES[0])
+        at = np.arange(n - gram + 1)
         grams = mix(rolled.of(at, at + gram), 7)
-        bits = np.uint64(max(1, (self.n - 1).bit_length()))
-        keyed = (grams >> bits << bits) | at.astype(np.uint64)  # ties go to the leftmost
-        least = (_sliding_least(keyed, window - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        end = np.repeat(self.first + self.sizes, self.sizes)[: len(least)]
-        valid = np.arange(len(least)) + window <= end
-        doc = np.repeat(np.arange(len(texts)), self.sizes)[: len(least)]
-        new = valid & np.r_[True, ~valid[:-1] | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])]
-        stop = valid & np.r_[~valid[1:] | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]), True]
-        begin, last = np.flatnonzero(new), np.flatnonzero(stop)
-        place = (least[begin] - begin).astype(np.uint64) + ((last - begin).astype(np.uint64) << np.uint64(32))
-        whole = mix(rolled.of(begin, last + window) ^ mix(place, 8), 9)
-        self.runs = Runs(begin, last, grams[least[begin]], whole)
-
-
-# --- questions about pairs --------------------------------------------------------------------------------------------
-
-
-def _pair_message(anchor: np.ndarray, whole: np.ndarray, many: np.ndarray) -> bytes:
-    return b"".join([len(anchor).to_bytes(4, "little"), anchor.astype("<u8").tobytes(), whole.astype("<u8").tobytes(), np.packbits(many).tobytes()])
-
-
-def pair_answers(messages: DataFrame) -> DataFrame:
-    """For each message two bits a pair: does the pair recur; does its anchor recur with another whole?"""
-
-    def run(group: pa.Table) -> pa.Table:
-        parts = []
-        for d in group.column("data").to_pylist():
-            n = int.from_bytes(d[:4], "little")
-            parts.append((np.frombuffer(d, "<u8", n, 4), np.frombuffer(d, "<u8", n, 4 + 8 * n), np.unpackbits(np.frombuffer(d, np.uint8, -1, 4 + 16 * n), count=n).astype(bool)))
-        a, w, many = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((w, a))
-        ka, kw = a[order], w[order]
-        new_a = np.r_[True, ka[1:] != ka[:-1]]
-        new = new_a | np.r_[True, kw[1:] != kw[:-1]]
-        first = np.flatnonzero(new)
-        size = np.diff(np.r_[first, len(ka)])
-        again = (size > 1) | (np.add.reduceat(many[order].astype(np.int64), first) > 0)
-        group_of = np.cumsum(new_a[first]) - 1
-        other = np.bincount(group_of)[group_of] > 1
-        bits = np.empty((len(a), 2), bool)
-        bits[order] = np.repeat(np.stack([again, other], axis=1), size, axis=0)
-        ends = np.cumsum([len(p[0]) for p in parts])[:-1]
-        data = [np.packbits(b.ravel()).tobytes() for b in np.split(bits, ends)]
-        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "data": pa.array(data, pa.binary())})
-
-    return messages.groupBy("bucket").applyInArrow(run, chunks.MESSAGE)
-
-
-def _pairs(parts: list[Part]):
-    """Distinct (anchor, whole) of a chunk in order, is each there more than once, the place of each run, and the
-    first run of each."""
-    a = np.concatenate([p.runs.anchor for p in parts]) if parts else np.zeros(0, np.uint64)
-    w = np.concatenate([p.runs.whole for p in parts]) if parts else np.zeros(0, np.uint64)
-    order = np.lexsort((w, a))
-    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (w[order][1:] != w[order][:-1])] if len(a) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    place = np.empty(len(a), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return a[order[first]], w[order[first]], np.diff(np.r_[first, len(a)]) > 1, place, order[first]
-
-
-def _contested(parts: list[Part], chosen: np.ndarray, window: int):
-    """The suffixes of the chosen runs (indexes over all parts): their bytes, starts there, run and place in the run."""
-    counts = np.cumsum([len(p.runs.begin) for p in parts])
-    texts, starts, of, shift, at = [], [], [], [], 0
-    for r in np.sort(chosen).tolist():
-        k = int(np.searchsorted(counts, r, side="right"))
-        p = parts[k]
-        i = r - (int(counts[k - 1]) if k else 0)
-        b, e = int(p.runs.begin[i]), int(p.runs.last[i])
-        texts.append(p.data[b : e + window])
-        starts.append(np.arange(at, at + e - b + 1))
-        of.append(np.full(e - b + 1, r))
-        shift.append(np.arange(e - b + 1))
-        at += e - b + window
-    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(texts, np.uint8), join(starts, np.int64), join(of, np.int64), join(shift, np.int64)
-
-
-def _class_keys(data: np.ndarray, starts: np.ndarray, window: int):
-    """Sorted distinct keys of the classes of these suffixes, 16 more bits, many, and each start's place."""
-    number = classes(data, starts, window)
-    n = int(number.max()) + 1 if len(number) else 0
-    first = np.zeros(n, np.int64)
-    first[number[::-1]] = starts[::-1]
-    values = data.astype(np.uint64) + np.uint64(1)
-    a = mix(Rolling(values, BASES[0]).of(first, first + window), 11)
-    b = mix(Rolling(values, BASES[1]).of(first, first + window), 12).astype(np.uint16)
-    keys, _, place = chunks.distinct(a)
-    extra = np.zeros(len(keys), np.uint16)
-    extra[place] = b
-    place = place[number]
-    return keys, extra, np.bincount(place, minlength=len(keys)) > 1, place
-
-
-def _class_places(data: np.ndarray, starts: np.ndarray, window: int):
-    """The same keys, many and places from the hashes alone: the sort has been verified, and is not repeated."""
-    return chunks.distinct(mix(Rolling(data.astype(np.uint64) + np.uint64(1), BASES[0]).of(starts, starts + window), 11))
-
-
-def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+        least = chunks.least_of_each(grams, self.window - gram + 1)
+        doc = np.repeat(np.arange(len(sizes)), sizes)[: len(least)]
+        valid = np.arange(len(least)) + self.window <= np.cumsum(sizes)[doc]
+        other = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+        begin = np.flatnonzero(valid & np.r_[True, ~valid[:-1] | other])
+        last = np.flatnonzero(valid & np.r_[~valid[1:] | other, True])
+        return begin, last, least, mix(grams[least[begin]], 8)  # least hashes are near zero: spread again
+
+    def runs(self, recurs: np.ndarray, crowded: np.ndarray) -> Runs:
+        at = np.flatnonzero(recurs)
+        return Runs(self.begin[at], self.count[at], self.place[at], self.probes[at], crowded[at])
+
+    def text(self, start: int, end: int) -> bytes:
+        return self.data[start:end]
+
+    def hashes(self, starts: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts), np.uint64)
+        for i in range(0, len(starts), 1 << 14):
+            own = starts[i : i + (1 << 14)]
+            low = int(own[0])
+            if int(own[-1]) - low > 8 * PART_BYTES:  # far apart: no common prefix sums
+                rows = np.frombuffer(self.data, np.uint8)[own[:, None] + np.arange(self.window)].astype(np.uint64)
+                out[i : i + len(own)] = ((rows + np.uint64(1)) * powers(BASES[1], self.window)).sum(axis=1, dtype=np.uint64)
+            else:
+                data = np.frombuffer(self.data, np.uint8, int(own[-1]) + self.window - low, low)
+                out[i : i + len(own)] = Rolling(data.astype(np.uint64) + np.uint64(1), BASES[1]).of(own - low, own - low + self.window)
+        return mix(out, 11)
+
+
+def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = chunks.CROWDED) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start and end byte of each maximal removed run), kept (the bytes that stay)."""
-    rows, n, _ = chunks.with_chunk(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def load(table: pa.Table) -> tuple[pa.Table, list[list[bytes]], list[Part]]:
-        table = chunks.ordered(table)
-        texts, part, total = [], [], 0
-        for t in table.column("text").to_pylist():
-            part.append((t or "").encode("utf-8", "surrogatepass"))
-            total += len(part[-1])
-            if total >= PART_BYTES:
-                texts.append(part)
-                part, total = [], 0
-        texts += [part] * bool(part)
-        return table, texts, [Part(t, window, gram) for t in texts]
-
-    def ask_pairs(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        _, _, parts = load(table)
-        a, w, many, _, _ = _pairs(parts)
-        at = chunks.bounds(a, n)
-        full = np.flatnonzero(np.diff(at))
-        data = [_pair_message(a[i:j], w[i:j], many[i:j]) for i, j in zip(at[full], at[full + 1], strict=True)]
-        return pa.table({"chunk": pa.array(np.full(len(full), chunk, np.int32)), "bucket": pa.array(full.astype(np.int32)), "data": pa.array(data, pa.binary())})
-
-    def sort(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return chunks.NOTHING
-        chunk = table.column("chunk")[0].as_py()
-        _, _, parts = load(table)
-        a, _, many, place, first = _pairs(parts)
-        bits = np.zeros((len(a), 2), bool)
-        at = chunks.bounds(a, n)
-        for i, data in zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True):
-            size = at[i + 1] - at[i]
-            bits[at[i] : at[i + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=2 * size).reshape(size, 2)
-        again, other = bits[:, 0] | many, bits[:, 1]
-        data, starts, _, _ = _contested(parts, first[other], window)
-        keys, extra, more, _ = _class_keys(data, starts, window)
-        out = chunks.ask_all(chunk, keys, extra, more, ~more, n, 8)
-        return pa.concat_tables([out, chunks.note(chunk, np.packbits(np.stack([again, other], axis=1).ravel()).tobytes())])
-
-    def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def index(table: pa.Table) -> Bytes:
+        return Bytes(table, window, gram)
+
+    def remove(table: pa.Table, starts: np.ndarray) -> pa.Table:
         schema = pa.schema([("doc_id", table.schema.field("doc_id").type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", SPANS), ("kept", pa.binary())])
-        if not table.num_rows:
-            return schema.empty_table()
-        table, texts, parts = load(table)
-        a, _, _, place, first = _pairs(parts)
-        own = pc.less(answers.column("bucket"), 0)
-        raw = np.frombuffer(answers.filter(own).column("data")[0].as_py(), np.uint8)
-        again, other = np.unpackbits(raw, count=2 * len(a)).reshape(-1, 2).astype(bool).T
-        data, starts, of, shift = _contested(parts, first[other], window)
-        keys, more, at = _class_places(data, starts, window)
-        yes = (more | chunks.read_answers(answers.filter(pc.invert(own)), keys, ~more, n))[at]
-        yes &= ~again[place[of]] if len(of) else yes  # those runs recur throughout and are covered below
-        single = np.concatenate([p.runs.begin for p in parts])[of[yes]] + shift[yes]
-        single_run = of[yes]
-        out: list[tuple] = []
-        r0 = 0
-        for part, p in zip(texts, parts, strict=True):
-            r1 = r0 + len(p.runs.begin)
-            whole = again[place[r0:r1]]
-            change = np.zeros(p.n + 1, np.int32)
-            np.add.at(change, p.runs.begin[whole], 1)
-            np.add.at(change, p.runs.last[whole] + window, -1)
-            here = single[(single_run >= r0) & (single_run < r1)]
-            np.add.at(change, here, 1)
-            np.add.at(change, here + window, -1)
-            gone = np.cumsum(change[: p.n]) > 0
-            for text, b, size in zip(part, p.first.tolist(), p.sizes.tolist(), strict=True):
-                mask = gone[b : b + size]
-                i, j = chunks.runs(mask)
-                kept = text if not len(i) else np.frombuffer(text, np.uint8)[~mask].tobytes()
-                out.append((size, size - len(kept), [{"start": x, "end": y} for x, y in zip(i.tolist(), j.tolist(), strict=True)], kept))
-            r0 = r1
-        cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types[1:], strict=True)]
+        out, first = [], 0
+        for t in table.column("text").to_pylist():
+            raw = (t or "").encode("utf-8", "surrogatepass")
+            i, j = np.searchsorted(starts, (first, first + len(raw)))
+            gone = chunks.covered(starts[i:j] - first, window, len(raw)) if i < j else None
+            first += len(raw)
+            a, b = chunks.runs(gone) if gone is not None else ([], [])
+            kept = raw if gone is None else np.frombuffer(raw, np.uint8)[~gone].tobytes()
+            out.append((len(raw), len(raw) - len(kept), [{"start": int(x), "end": int(y)} for x, y in zip(a, b, strict=True)], kept))
+        cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types[1:], strict=True)] if out else [pa.array([], t) for t in schema.types[1:]]
         return pa.Table.from_arrays([table.column("doc_id"), *cols], schema=schema)
 
-    by_chunk = rows.groupBy("chunk")
-    first = pair_answers(by_chunk.applyInArrow(ask_pairs, chunks.MESSAGE))
-    asked = by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(sort, chunks.MESSAGE)
-    second = chunks.answer(asked)
-    return by_chunk.cogroup(second.groupBy("chunk")).applyInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return recurring(docs, index, decide, remove, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary", window, limit)
