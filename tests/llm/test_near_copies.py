@@ -49,11 +49,24 @@ def edited():
     return texts
 
 
-def test_near_copies_equal_brute_force(spark):
-    texts = edited()
+def crowd():
+    """A large group around one text, from close copies to ones beyond 0.8 of most others."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(160):
+        t = list(base)
+        for _ in range(k % 11):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(t))
+    return texts
+
+
+@pytest.mark.parametrize(("texts", "most"), [(edited(), 4096), (crowd(), 4096), (crowd(), 9)])
+def test_near_copies_equal_brute_force(spark, texts, most):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     roots = plain_groups(plain_sets(texts))
-    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == dict(enumerate(roots))
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs, most).collect()} == dict(enumerate(roots))
     assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == sorted(set(roots))
 
 

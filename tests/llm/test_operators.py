@@ -306,8 +306,8 @@ def test_pii_adds_and_redacts(spark, docs):
     detector = pii.fit(corpus)
     assert detector.model is not None
     text = 'token = "0123456789abcdef0123456789abcdef01234567" version 2.0 of 12'
-    assert [pii.KINDS[k] for _, k, _, _ in detector.added(text, pii.base_spans(text))] == ["secret"]
-    assert pii.redacted("mail a.b@c.example.com or 1.2.3.4.", detector) == "mail [EMAIL] or [IP]."
+    assert [pii.KINDS[k] for _, k, _, _ in detector.added([text], [pii.base_spans(text)])[0]] == ["secret"]
+    assert pii.redacted(["mail a.b@c.example.com or 1.2.3.4.", ""], detector) == ["mail [EMAIL] or [IP].", ""]
     out = pii.redact(docs, detector)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert pii.fit(docs).model is None  # nothing to learn from
@@ -341,12 +341,9 @@ def test_url_filter(spark):
     assert (out["http://a.EXAMPLE.com/en/1"].rule, out["http://a.EXAMPLE.com/en/1"].verdict, out["http://a.EXAMPLE.com/en/1"].host) == ("example.com/en/", "block", "a.example.com")
     assert (out["http://www.example.com/en/1"].rule, out["http://www.example.com/en/1"].verdict) == ("www.example.com/en/", "allow")
     assert out["http://example.com/en"].rule == "com/" and out["http://com/"].rule == "com/" and out["http://com?x"].rule is None
-    assert out["http://spam3.net/de/77"].rule is None and out["http://spam3.net/de/77"].verdict == "block"
+    assert out["http://spam3.net/de/77"].rule is None and out["http://spam3.net/de/77"].verdict == "allow"  # too few to calibrate on
     assert [(out[u].host, out[u].path) for u in ("nothing", "", None)] == [("", "")] * 3
     assert url_filter.judged(pages.limit(0)).count() == 0
-    # The smoothed probabilities of a model add up to one after every context.
-    counts = spark.createDataFrame([("^^^a", 3, 1), ("^^ab", 2, 0), ("^aba", 1, 4)], "gram string, allow long, block long")
-    assert all(np.isfinite(r.ratio) for r in url_filter.gram_ratios(counts).collect())
 
 
 def test_packing(docs, empty):

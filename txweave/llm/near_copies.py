@@ -1,12 +1,14 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies by SimHash links and, beyond their reach, MinHash bands, verified by the similarity of word shingles.
 
 Two texts are near copies if the sets of their five-word shingles have a similarity of 0.8 or more. Texts of equal sets
-are one class. Classes meet in the buckets of a MinHash index (24 bands of 5 rows: a pair at 0.8 is missed by all bands
-once in 14 000, one at 0.9 hardly ever) and a link is made only where the similarity of the whole sets, counted exactly, is
-high enough. No list of all pairs of a bucket is written: first each member is compared with the least one of its
+are one class. The deletion variants of `simhash` propose the classes whose fingerprints are within 2 bits. Pairs at 0.8
+differ in some ten bits of 64, which no affordable number of variants covers; so classes also meet in the buckets of a
+MinHash index (24 bands of 5 rows: a pair at 0.8 is missed by all bands once in 14 000, one at 0.9 hardly ever). A link
+is made only where the similarity of the whole sets, counted exactly, is high enough. No list of all pairs of a bucket is written: first each member is compared with the least one of its
 bucket, which settles most buckets; where members of a bucket are still in different components, the pairs between
-components are compared, but those whose MinHash values agree in so few places (SURE) that 0.8 is out of reach but once
-in some 10 000. Components are as in `simhash`.
+components are compared where the bucket is, but those whose MinHash values agree in so few places (SURE) that 0.8 is out
+of reach but once in some 10 000. Only links leave: members that are similar to few of a large bucket cost comparisons,
+not rows. Large buckets are dealt as pairs of blocks, so no task holds one. Components are as in `simhash`.
 
 Edge cases: null, empty and blank texts are one class; texts of fewer than five words are one shingle; long texts are
 hashed whole, in blocks; null doc_ids come last, repeated rows are kept once; an empty table gives an empty result.
@@ -15,6 +17,7 @@ hashed whole, in blocks; null doc_ids come last, repeated rows are kept once; an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txweave.llm.common import cut, slices
-from txweave.llm.simhash import components, rows_of
+from txweave.llm.simhash import by_label, components, links, majority, rows_of
 
 WIDTH = 5
 SEED = 42
@@ -32,6 +35,9 @@ LEAST = (4, 5)
 BANDS, ROWS = 24, 5
 #: Of BANDS * ROWS MinHash values, so many agree at least where pairs between components are compared.
 SURE = 78
+#: Members of a bucket that are compared in one task, and sets that are counted at a time.
+BLOCK = 4096
+COUNTED = 64
 _BLOCK = 1 << 11
 
 _rng = np.random.default_rng(SEED)
@@ -61,28 +67,29 @@ def minhash(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, set (a hash of the shingle set), n (its size), keys (one of each band), sig of each row."""
+    """doc_id, text_hash, set (a hash of the shingle set), n (its size), fp (its fingerprint), keys (one of each band),
+    sig of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ids, sizes, keys, sigs = [], [], [], []
+            ids, sizes, fps, keys, sigs = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 own = shingles(t)
                 ids.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(len(own))
+                fps.append(majority(own))
                 low = minhash(own) if len(own) else np.zeros(0, np.uint64)
                 keys.append((low.reshape(-1, ROWS) * _KEY).sum(axis=1, dtype=np.uint64).view(np.int64) if len(own) else low.view(np.int64))
                 sigs.append(low.astype(np.uint8).tobytes())
-            columns = [b.column(0), b.column(2), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "set", "n", "keys", "sig"])
+            columns = [b.column(0), b.column(2), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "set", "n", "fp", "keys", "sig"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, text_hash long, set long, n long, keys array<long>, sig binary")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, text_hash long, set long, n long, fp long, keys array<long>, sig binary")
 
 
-def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """set, hashes of the classes in `pairs`, from one text of each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """set, hashes of the classes in `wanted` (set, distinct), from one text of each."""
     one = rows.join(wanted, "set").groupBy("set").agg(F.min("text_hash").alias("_hash"))
     texts = docs.select("text").join(one, F.xxhash64("text") == F.col("_hash")).select("text", "set")
 
@@ -96,92 +103,144 @@ def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b: classes) whose sets are similar enough, counted exactly."""
-    sets = cut(_sets(docs, rows, pairs))
+    sets = cut(_sets(docs, rows, pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()))
     a, b = (sets.select(F.col("set").alias(c), F.col("hashes").alias(f"_{c}")) for c in "ab")
     both = F.size(F.array_intersect("_a", "_b"))
     num, den = LEAST
     return pairs.join(a, "a").join(b, "b").where(den * both >= num * (F.size("_a") + F.size("_b") - both)).select("a", "b")
 
 
+def proposed(classes: DataFrame) -> DataFrame:
+    """a, b: classes (set, n, fp) whose fingerprints are equal or linked, each to the least class of a fingerprint."""
+    heads = cut(classes.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("_c")))
+    same = classes.join(heads, "fp").where(F.col("set") != F.col("_c.set")).select(F.col("_c").alias("x"), F.struct("set", "n").alias("y"))
+    x, y = (heads.select(F.col("fp").alias(c), F.col("_c").alias(f)) for c, f in (("a", "x"), ("b", "y")))
+    near = links(heads.select("fp")).join(x, "a").join(y, "b").select("x", "y")
+    return same.union(near).where(_sizes_fit(F.col("x.n"), F.col("y.n"))).select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b"))
+
+
 def _sizes_fit(x, y):
     num, den = LEAST
     return (den * x >= num * y) & (den * y >= num * x)
 
 
-def _between(comp: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket's members in different components that may be similar enough."""
-    _, inverse, count = np.unique(comp, return_inverse=True, return_counts=True)
-    order = np.lexsort((inverse, count[inverse]))  # the largest component last: only pairs across are compared
-    inverse, n, sig = inverse[order], n[order], sig[order]
-    ends = np.r_[np.flatnonzero(inverse[1:] != inverse[:-1]) + 1, len(inverse)]
-    a, b = [], []
-    for i in range(len(inverse)):
-        j = int(ends[np.searchsorted(ends, i, "right")])
-        if j == len(inverse):
+class Member(NamedTuple):
+    """The members of one bucket, or of two blocks of a large one."""
+
+    node: np.ndarray
+    n: np.ndarray
+    comp: np.ndarray
+    block: np.ndarray
+    sig: np.ndarray
+    keys: np.ndarray  # of all bands
+    hashes: list[np.ndarray]  # sorted
+
+
+def bridges(m: Member, band: int) -> list[tuple[int, int]]:
+    """Links between components of a bucket: whatever pair across is similar enough, its parts are linked.
+
+    A pair is looked at in the first band that it shares; in that bucket too its components differ. Pairs whose MinHash
+    values agree in too few places are left out, the others are counted, and none is written but those that link."""
+    _, inverse, count = np.unique(m.comp, return_inverse=True, return_counts=True)
+    order = np.lexsort((inverse, count[inverse]))  # the largest component last: its members start no comparison
+    root = np.arange(len(count))
+    split = len(np.unique(m.block)) > 1
+    num, den = LEAST
+    out = []
+    for k, i in enumerate(order.tolist()):
+        if inverse[i] == inverse[order[-1]]:
             break
-        hit = j + np.flatnonzero(_sizes_fit(n[i], n[j:]))
-        hit = hit[(sig[hit] == sig[i]).sum(axis=1) >= SURE]
-        a.append(np.full(len(hit), i)), b.append(hit)
-    if not a:
-        return order[:0], order[:0]
-    return order[np.concatenate(a)], order[np.concatenate(b)]
+        later = order[k + 1 :]
+        fit = (root[inverse[later]] != root[inverse[i]]) & _sizes_fit(m.n[i], m.n[later])
+        if split:
+            fit &= m.block[later] != m.block[i]
+        later = later[fit]
+        later = later[(m.sig[later] == m.sig[i]).sum(axis=1) >= SURE]
+        later = later[~(m.keys[later, :band] == m.keys[i, :band]).any(axis=1)]
+        while len(later):
+            some, later = later[:COUNTED], later[COUNTED:]
+            other = np.concatenate([m.hashes[j] for j in some.tolist()])
+            at = np.minimum(np.searchsorted(m.hashes[i], other), len(m.hashes[i]) - 1)
+            both = np.add.reduceat((m.hashes[i][at] == other).astype(np.int64), np.cumsum(m.n[some]) - m.n[some])
+            for j in some[den * both >= num * (m.n[i] + m.n[some] - both)].tolist():
+                x, y = root[inverse[i]], root[inverse[j]]
+                if x != y:
+                    out.append((int(m.node[i]), int(m.node[j])))
+                    root[root == max(x, y)] = min(x, y)
+            later = later[root[inverse[later]] != root[inverse[i]]]
+    return out
 
 
-def across(members: DataFrame) -> DataFrame:
-    """a, b: pairs of classes in one bucket and different components; members: key, set, n, sig, comp."""
+def across(members: DataFrame, most: int = BLOCK) -> DataFrame:
+    """a, b: links between different components that share a bucket; members: key, band, set, n, comp, sig, keys, hashes
+    of open buckets. Buckets of more than `most` members are dealt as pairs of blocks."""
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        key, node, n, comp = (rows.column(c).to_numpy() for c in ("key", "set", "n", "comp"))
+    def links_of(rows: pa.Table) -> pa.RecordBatch:
+        key, one, two, band, node, n, comp, block = (rows.column(c).to_numpy() for c in ("key", "one", "two", "band", "set", "n", "comp", "block"))
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(key), BANDS * ROWS)
-        cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
-        out = [np.zeros((0, 2), np.int64)]
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(key), BANDS)
+        flat, sizes = rows.column("hashes").combine_chunks().flatten().to_numpy().view(np.uint64), n
+        hashes = np.split(flat, np.cumsum(sizes)[:-1])
+        new = (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        cuts = np.r_[0, np.flatnonzero(new) + 1, len(key)].tolist()
+        out = []
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            x, y = _between(comp[i:j], n[i:j], sig[i:j])
-            out.append(np.sort(np.stack([node[i:j][x], node[i:j][y]], axis=1), axis=1))
-        found = np.unique(np.concatenate(out), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            out += bridges(Member(node[i:j], n[i:j], comp[i:j], block[i:j], sig[i:j], keys[i:j], hashes[i:j]), int(band[i]))
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.Table] = []
+        size = 0
         for b in batches:
-            new = pa.Table.from_batches([b])
-            held = new if held is None else pa.concat_tables([held, new])
-            if held.num_rows < 1 << 17:
+            held.append(pa.Table.from_batches([b]))
+            size += b.nbytes
+            if size < 32 << 20:
                 continue
-            key = held.column("key").to_numpy()
-            last = np.flatnonzero(key != key[-1])  # rows come sorted: the last key may go on
+            whole = pa.concat_tables(held)
+            key, one, two = (whole.column(c).to_numpy() for c in ("key", "one", "two"))
+            last = np.flatnonzero((key != key[-1]) | (one != one[-1]) | (two != two[-1]))  # rows come sorted: the last group may go on
             end = int(last[-1]) + 1 if len(last) else 0
             if end:
-                yield pairs(held.slice(0, end))
-                held = held.slice(end)
-        if held is not None and held.num_rows:
-            yield pairs(held)
+                yield links_of(whole.slice(0, end))
+            held = [whole.slice(end)]
+            size = held[0].nbytes if end else 0
+        if held and sum(t.num_rows for t in held):
+            yield links_of(pa.concat_tables(held))
 
-    keyed = members.select("key", "set", "n", "comp", "sig").repartition("key").sortWithinPartitions("key")
-    return keyed.mapInArrow(run, "a long, b long").distinct()
+    counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
+    dealt = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"), "band", "set", "n", "comp", "block", "sig", "keys", "hashes")
+    group = ["key", "one", "two"]
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, most: int = BLOCK) -> DataFrame:
     """doc_id, text_hash, component_id, first of each row; component_id is the least doc_id of the rows reachable by
     links, first tells the rows that stand for their component: its least (doc_id, text_hash), nulls last."""
     rows = cut(sketches(docs))
-    classes = rows.select("set", "n", "keys", "sig").dropDuplicates(["set"])
-    buckets = cut(classes.select("set", "n", F.explode("keys").alias("key")).withColumn("_m", F.struct("set", "n")))
+    classes = cut(rows.select("set", "n", "fp", "keys", "sig").dropDuplicates(["set"]))
+    buckets = cut(classes.select("set", "n", F.posexplode("keys").alias("band", "key")).withColumn("_m", F.struct("set", "n")))
     least = buckets.groupBy("key").agg(F.min("_m").alias("_c"), F.max("set").alias("_x")).where("_c.set <> _x").select("key", "_c")
     tried = buckets.join(least, "key").where((F.col("set") != F.col("_c.set")) & _sizes_fit(F.col("n"), F.col("_c.n")))
-    tried = cut(tried.select(F.col("_c.set").alias("a"), F.col("set").alias("b")).distinct())
-    links = cut(similar(docs, rows, tried))
-    roots = components(links)
-    member = buckets.drop("_m").join(roots, buckets["set"] == roots["node"], "left").select("key", "set", "n", F.coalesce("root", "set").alias("comp"))
+    tried = tried.select(F.least("_c.set", "set").alias("a"), F.greatest("_c.set", "set").alias("b"))
+    tried = cut(tried.union(proposed(classes)).distinct())
+    found = cut(similar(docs, rows, tried))
+    roots = components(found)
+    member = buckets.drop("_m").join(roots, buckets["set"] == roots["node"], "left").select("key", "band", "set", "n", F.coalesce("root", "set").alias("comp"))
     open_keys = member.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
-    more = across(member.join(open_keys, "key").join(classes.select("set", "sig"), "set"))
-    links = cut(links.union(similar(docs, rows, cut(more.join(tried, ["a", "b"], "left_anti")))))
-    roots = components(links)
+    member = cut(member.join(open_keys, "key"))
+    wanted = member.select("set").distinct()
+    whole = cut(classes.select("set", "sig", "keys").join(_sets(docs, rows, wanted), "set"))
+    found = cut(found.union(across(member.join(whole, "set"), most)))
+    roots = components(found)
     mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    heads = rows.groupBy("set").agg(F.min(mine).alias("least"))
-    labelled = heads.join(roots, heads["set"] == roots["node"], "left").select("set", F.coalesce("root", "set").alias("root"), "least")
-    by_set = labelled.drop("least").join(labelled.groupBy("root").agg(F.min("least").alias("least")), "root").select("set", "least")
-    return rows.select("doc_id", "text_hash", "set").join(by_set, "set").select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), mine.eqNullSafe(F.col("least")).alias("first"))
+    heads = rows.groupBy("set").agg(F.min(mine).alias("least"), F.count(F.lit(1)).alias("rows"))
+    labelled = cut(heads.join(roots, heads["set"] == roots["node"], "left").select(F.col("set").alias("f"), F.coalesce("root", "set").alias("root"), "least", "rows"))
+    by_set = labelled.drop("least").join(labelled.groupBy("root").agg(F.min("least").alias("least")), "root").select("f", "least", "rows")
+    out = by_label(rows.select("doc_id", "text_hash", "set"), "set", cut(by_set))
+    return out.select("doc_id", "text_hash", F.col("least.doc_id").alias("component_id"), mine.eqNullSafe(F.col("least")).alias("first"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -1,40 +1,46 @@
 """Personal data: strict patterns, and boosted trees over what generous generators propose.
 
 The strict spans of the four base kinds always stay. Generators with high recall propose overlapping candidates: what
-stands around an @, runs of digits with separators, dotted numbers, long strings of mixed letters and digits. Boosted
-trees score them by format and context. They learn from a bounded sample of the corpus itself: candidates that a strict
-pattern confirms, or a value assigned to a word for secrets, are positive; the others are negative, except those that
-look like a base kind but fail its check, which nobody labelled. The threshold is set on the half of the sample kept
-from training: the lowest at which the share of confirmed candidates, by its exact lower bound, reaches the wanted
-precision. If the sample holds too little for that, the method adds nothing. Selected candidates that meet a base span
-are dropped, the better of two that overlap stays.
+stands around an @, runs of digits with separators, dotted numbers, long strings of mixed letters and digits, of any
+length. Boosted trees score them by format and context. They learn from the candidates of SAMPLE_ROWS documents at most,
+chosen by a hash of the text: candidates that a strict pattern confirms, or a mixed string assigned to a word for
+secrets, are positive, the others negative. What confirms a candidate is no feature: neither the checks of the patterns
+nor the word before a secret, so the trees must find format and surroundings that go with it. Numbers that look like a
+base kind but fail its check are nobody's example. The threshold is set on all documents that were not learnt from, by
+counts of (score, label) over the whole table: the lowest score from which on the share of confirmed candidates, by its
+lower confidence bound, reaches the wanted precision. If they are too few for that, the method adds nothing. Selected
+candidates that meet a base span are dropped, the better of two that overlap stays.
 
 Edge cases: null and empty texts have no spans; long texts are scanned whole in time proportional to their length;
-positions are code points, ends exclusive; repeated rows get equal spans; an empty table gives an empty result; other
-columns are ignored by `find` and kept by `redact`.
+positions are code points, ends exclusive; of candidates that tie the first, then the longer stays; repeated rows get
+equal spans and count once in training; an empty table gives an empty result; other columns are ignored by `find` and
+kept by `redact`.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txweave.llm.common import plan_bytes, slices
+from txweave.llm.common import slices
 from txweave.llm.trees import Boosted, boost
 
 #: Base kinds in their order; the method's own kinds follow.
 KINDS = ["email", "ip", "card", "phone", "secret", "number"]
-SAMPLE_BYTES = 24 << 20
+#: Documents to learn from, and their candidates, at most.
+SAMPLE_ROWS = 20_000
 SAMPLE_CANDIDATES = 20_000
 N_FEATURES = 18
+BINS = 1000
 PRECISION = 0.95
 CONFIDENCE = 0.95
 
@@ -91,12 +97,13 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
 
 # --- candidates -------------------------------------------------------------------------------------------------------
 
-_AROUND = re.compile(r"[^\s@<>\"',;]{1,64}@[^\s@<>\"',;]{1,128}")
-_NUMBER = re.compile(r"[+(]?[0-9][0-9 ().\-]{0,40}[0-9]")
-_DOTTED = re.compile(r"(?<![0-9.])[0-9]{1,6}(?:\.[0-9]{1,6}){1,7}")
+_AROUND = re.compile(r"[^\s@<>\"',;]++")
+_NUMBER = re.compile(r"[+(]?[0-9]++(?:[ ().\-]{1,3}[0-9]++)*+")
+_DOTTED = re.compile(r"(?<![0-9.])[0-9]++(?:\.[0-9]++)++")
 _MIXED = re.compile(r"[A-Za-z0-9_+/=-]{12,}")
 #: Words that announce a secret, and words that announce a way to reach somebody.
 SECRET_WORDS = re.compile(r"(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|key)[\"']?\s*[:=]\s*[\"']?$", re.I)
+ASSIGNED = re.compile(r"[A-Za-z_]\s*[:=]\s*[\"']?$")
 CONTACT_WORDS = re.compile(r"(?:mail|phone|tel|call|fax|mobile|contact|card|ssn|iban|ip)\W{0,3}$", re.I)
 
 
@@ -125,7 +132,7 @@ def _candidate(t: str, start: int, end: int, generator: int, strict: set[tuple[i
     hexa = counts.keys() <= _HEXA
     features = [
         len(s), digits, letters, sum(n for c, n in counts.items() if c.isupper()), len(s) - digits - letters, s.count("."), s.count("@"), max(runs, default=0),
-        len(runs), hexa, len(counts), _side(t[start - 1 : start]), _side(t[end : end + 1]), 2 * secret + contact, s[0] == "+", entropy,
+        len(runs), hexa, len(counts), _side(t[start - 1 : start]), _side(t[end : end + 1]), 2 * bool(ASSIGNED.search(before)) + contact, s[0] == "+", entropy,
         sum(int(g) <= 255 for g in groups) / max(1, len(groups)), generator,
     ]
     kind = by_kind.get((start, end))
@@ -134,7 +141,7 @@ def _candidate(t: str, start: int, end: int, generator: int, strict: set[tuple[i
     mixed = generator == 3 and digits >= 3 and letters >= 3
     confirmed = (start, end) in strict or (secret and mixed and len(s) >= 16)
     # The right shape for a base kind, though its check fails: no label.
-    shaped = not confirmed and (generator == 1 and 9 <= digits <= 19 or generator == 2 and s.count(".") == 3 or generator == 3 and mixed and len(s) >= 24 and entropy > 3)
+    shaped = not confirmed and (generator == 1 and 9 <= digits <= 19 or generator == 2 and s.count(".") == 3)
     return Candidate(start, end, kind, [float(f) for f in features], 1 if confirmed else -1 if shaped else 0)
 
 
@@ -145,16 +152,15 @@ def candidates(t: str, base: list[tuple[int, int, int]]) -> list[Candidate]:
     strict = {(i, j) for i, _, j in base}
     by_kind = {(i, j): k for i, k, j in base}
     found: dict[tuple[int, int], int] = {}
-    at = t.find("@")
-    while at >= 0:  # only where there is an @, within reach of it
-        m = _AROUND.search(t, max(0, at - 64), at + 129)
-        if m:
-            end = m.end() - (t[m.end() - 1] == ".")
-            found.setdefault((m.start(), end), 0)
-        at = t.find("@", at + 1)
+    if "@" in t:
+        last = -1, -1
+        for m in _AROUND.finditer(t):
+            if last[1] > 0 and m.start() == last[1] + 1 and t[last[1]] == "@":
+                found.setdefault((last[0], m.end() - (t[m.end() - 1] == "." and m.end() - m.start() > 1)), 0)
+            last = m.span()
     for k, pattern in ((1, _NUMBER), (2, _DOTTED), (3, _MIXED)):
         for m in pattern.finditer(t):
-            if k != 3 or _DIGITS.search(m[0]):
+            if (k != 3 or _DIGITS.search(m[0])) and m.end() > m.start() + 1:
                 found.setdefault((m.start(), m.end()), k)
     for i, j in strict:
         found.setdefault((i, j), 0 if "@" in t[i:j] else 2 if t.count(".", i, j) == 3 else 1)
@@ -168,73 +174,83 @@ class Detector(NamedTuple):
     model: Boosted | None
     threshold: float
 
-    def added(self, t: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(start, kind, end, score) of the selected candidates that meet no base span and no better candidate."""
+    def added(self, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int, float]]]:
+        """(start, kind, end, score) of each text's selected candidates that meet no base span and no better one."""
         if self.model is None:
-            return []
-        taken = [(i, j) for i, _, j in base]
-        free = [c for c in candidates(t, base) if not _meets(taken, c.start, c.end)]
-        if not free:
-            return []
-        scores = self.model.score(np.array([c.features for c in free]))
-        out: list[tuple[int, int, int, float]] = []
-        chosen: list[tuple[int, int]] = []
-        for s, c in sorted(zip(scores.tolist(), free, strict=True), key=lambda x: (-x[0], x[1].start, -x[1].end)):
-            if s >= self.threshold and not _meets(chosen, c.start, c.end):
-                out.append((c.start, c.kind, c.end, s))
-                _insert(chosen, c.start, c.end)
-        return sorted(out)
+            return [[] for _ in texts]
+        free = []
+        for t, own in zip(texts, base, strict=True):
+            taken = _disjoint([(i, j) for i, _, j in own])
+            free.append([c for c in candidates(t, own) if not _meets(taken, c.start, c.end)])
+        every = [c.features for own in free for c in own]
+        scores = iter(self.model.score(np.array(every)).tolist() if every else [])
+        out = []
+        for own in free:
+            found: list[tuple[int, int, int, float]] = []
+            chosen: list[tuple[int, int]] = []
+            for s, c in sorted(((next(scores), c) for c in own), key=lambda x: (-x[0], x[1].start, -x[1].end)):
+                if s >= self.threshold and not _meets(chosen, c.start, c.end):
+                    found.append((c.start, c.kind, c.end, s))
+                    insort(chosen, (c.start, c.end))
+            out.append(sorted(found))
+        return out
+
+
+def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap joined."""
+    out: list[tuple[int, int]] = []
+    for i, j in sorted(spans):
+        if out and i < out[-1][1]:
+            out[-1] = out[-1][0], max(j, out[-1][1])
+        else:
+            out.append((i, j))
+    return out
 
 
 def _meets(spans: list[tuple[int, int]], i: int, j: int) -> bool:
-    """Does i..j overlap one of the sorted spans?"""
-    from bisect import bisect_left
-
+    """Does i..j overlap one of the sorted disjoint spans?"""
     k = bisect_left(spans, (j,))
-    return any(b > i for _, b in spans[max(0, k - 8) : k])
-
-
-def _insert(spans: list[tuple[int, int]], i: int, j: int) -> None:
-    from bisect import insort
-
-    insort(spans, (i, j))
+    return k > 0 and spans[k - 1][1] > i
 
 
 def lower_bound(hits: int, n: int, confidence: float = CONFIDENCE) -> float:
-    """Exact lower confidence bound of a share, by bisection on the binomial tail."""
+    """Lower confidence bound of a share, by Chernoff's inequality: n times the divergence of hits / n from it is at most
+    -ln(1 - confidence)."""
     if not hits:
         return 0.0
-    low, high = 0.0, hits / n
-    logs = np.cumsum(np.r_[0.0, np.log((n - np.arange(n)) / (np.arange(n) + 1))])
-    k = np.arange(hits, n + 1)
-    for _ in range(40):
+    share, low, high = hits / n, 0.0, hits / n
+    for _ in range(60):
         p = (low + high) / 2
-        tail = np.exp(logs[k] + k * math.log(max(p, 1e-300)) + (n - k) * math.log(max(1 - p, 1e-300))).sum()
-        low, high = (p, high) if tail < 1 - confidence else (low, p)
+        apart = share * math.log(share / max(p, 1e-300)) + ((1 - share) * math.log((1 - share) / (1 - p)) if share < 1 else 0.0)
+        low, high = (p, high) if n * apart > -math.log(1 - confidence) else (low, p)
     return low
 
 
-def train(x: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> Detector:
-    """Trees from every second labelled candidate, the threshold from the others."""
-    learn, held = slice(0, None, 2), slice(1, None, 2)
-    if len(y) < 20 or not 0 < y[learn].sum() < len(y[learn]):
-        return Detector(None, 1.0)
-    model = boost(x[learn], y[learn])
-    score, truth = model.score(x[held]), y[held]
-    for t in np.unique(np.round(score, 3)):
-        at = score >= t
-        if t >= 0.5 and at.any() and lower_bound(int(truth[at].sum()), int(at.sum())) >= precision:
-            return Detector(model, float(t))
-    return Detector(None, 1.0)
+def threshold(counts: list[tuple[int, int, int]], precision: float = PRECISION) -> float | None:
+    """The lowest score from 0.5 on that is precise enough, from counts of (score in BINS, label, number)."""
+    total = np.zeros((BINS + 1, 2), np.int64)
+    for score, label, n in counts:
+        total[score, label] += n
+    above = total[::-1].cumsum(axis=0)[::-1]
+    for score in range(BINS // 2, BINS + 1):
+        misses, hits = (int(v) for v in above[score])
+        if total[score].any() and lower_bound(hits, hits + misses) >= precision:
+            return score / BINS
+    return None
 
 
-def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_candidates: int = SAMPLE_CANDIDATES) -> Detector:
-    """A detector from the candidates of a sample of documents: about `sample_bytes` of input, `sample_candidates` at
-    most, chosen by hash."""
-    share = min(1.0, sample_bytes / max(1, plan_bytes(docs)))
-    near = F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1 << 20)) < int(share * (1 << 20))
+def _learnt(text: Column, share: float) -> Column:
+    """Is the text one to learn from? Of every two texts one at most is."""
+    return (F.pmod(F.xxhash64(text, F.lit(6)), F.lit(1 << 20)) < int(share * (1 << 20))) & (F.pmod(F.xxhash64(text, F.lit(7)), F.lit(2)) == 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_candidates: int = SAMPLE_CANDIDATES) -> Detector:
+    """A detector: trees from the candidates of about `sample_rows` documents, `sample_candidates` at most, chosen by
+    hash; the threshold from all other documents."""
+    texts = docs.select("text").where(F.col("text").isNotNull())
+    share = min(1.0, 2 * sample_rows / max(1, docs.count()))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = [(i, h, c) for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, c in enumerate(candidates(t, base_spans(t))) if c.label >= 0]
             yield pa.RecordBatch.from_arrays(
@@ -242,10 +258,27 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_candidates: in
                 ["h", "i", "x", "y"],
             )
 
-    some = docs.where(near & F.col("text").isNotNull()).select("text", F.xxhash64("text", F.lit(66)).alias("h"))
-    found = some.mapInArrow(run, "h long, i int, x array<double>, y int").dropDuplicates(["h", "i"]).orderBy("h", "i").limit(sample_candidates).toArrow()
+    some = texts.where(_learnt(F.col("text"), share)).select("text", F.xxhash64("text", F.lit(66)).alias("h"))
+    found = some.mapInArrow(learn, "h long, i int, x array<double>, y int").dropDuplicates(["h", "i"]).orderBy("h", "i").limit(sample_candidates).toArrow()
     x = np.array(found.column("x").to_pylist(), float).reshape(found.num_rows, N_FEATURES)
-    return train(x, found.column("y").to_numpy().astype(float))
+    y = found.column("y").to_numpy().astype(float)
+    if not 0 < y.sum() < len(y):
+        return Detector(None, 1.0)
+    model = boost(x, y)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BINS + 1, 2), np.int64)
+        for b in slices(batches):
+            own = [c for t in b.column(0).to_pylist() for c in candidates(t, base_spans(t)) if c.label >= 0]
+            if own:
+                score = np.floor(model.score(np.array([c.features for c in own])) * BINS).astype(int)
+                np.add.at(total, (score, [c.label for c in own]), 1)
+        score, label = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(score.astype(np.int32)), pa.array(label.astype(np.int32)), pa.array(total[score, label])], ["score", "y", "n"])
+
+    held = texts.where(~_learnt(F.col("text"), share)).mapInArrow(count, "score int, y int, n long").groupBy("score", "y").agg(F.sum("n").alias("n"))
+    least = threshold([tuple(r) for r in held.collect()])  # 2 * (BINS + 1) rows at most
+    return Detector(None, 1.0) if least is None else Detector(model, least)
 
 
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
@@ -263,25 +296,25 @@ def find(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            base, added = [], []
-            for t in b.column(1).to_pylist():
-                own = base_spans(t or "")
-                base.append(_struct(own))
-                added.append(_struct(detector.added(t or "", own)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, SPAN), pa.array(added, SPAN)], ["doc_id", "base", "added"])
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            base = [base_spans(t) for t in texts]
+            added = detector.added(texts, base)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(map(_struct, x), SPAN) for x in (base, added))], ["doc_id", "base", "added"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, base {SPAN_SQL}, added {SPAN_SQL}")
 
 
-def redacted(t: str, detector: Detector) -> str:
-    """The text with each span, overlapping ones joined, replaced by its kind in brackets."""
-    base = base_spans(t)
-    out, at, end = [], 0, 0
-    for start, kind, stop, *_ in sorted(base + detector.added(t, base)):
-        if start >= end:
-            out += [t[at:start], f"[{KINDS[kind].upper()}]"]
-        at = end = max(end, stop)
-    return "".join(out) + t[at:] if out else t
+def redacted(texts: list[str], detector: Detector) -> list[str]:
+    """The texts with each span, overlapping ones joined, replaced by its kind in brackets."""
+    base, done = [base_spans(t) for t in texts], []
+    for t, own, more in zip(texts, base, detector.added(texts, base), strict=True):
+        out, at, end = [], 0, 0
+        for start, kind, stop, *_ in sorted([*own, *more]):
+            if start >= end:
+                out += [t[at:start], f"[{KINDS[kind].upper()}]"]
+            at = end = max(end, stop)
+        done.append("".join(out) + t[at:] if out else t)
+    return done
 
 
 def redact(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
@@ -292,7 +325,8 @@ def redact(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts = [None if t is None else redacted(t, detector) for t in b.column(at).to_pylist()]
+            old = b.column(at).to_pylist()
+            texts = [None if t is None else r for t, r in zip(old, redacted([t or "" for t in old], detector), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.column(k).type) if k == at else b.column(k) for k in range(len(names))], names)
 
     out = docs.mapInArrow(run, docs.schema)

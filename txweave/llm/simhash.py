@@ -6,12 +6,13 @@ equality of a key makes candidates, and the whole distance verifies them. Equal
 before anything is indexed. Within a key no list of pairs is written: its linked fingerprints are joined to the least
 one of their part, so a key of m members gives m - 1 links at most. Keys of many members look their neighbours up in
 sorted order, by all allowed bit changes, instead of comparing all members. Classes then get the least label of their
-component by alternating star contraction, whose state is cut at each round.
+component by alternating star contraction, whose links and state are cut, so each is computed once. Labels go back to the
+rows by fingerprint; those of fingerprints that HEAVY rows or more share, one for each HEAVY rows at most, are broadcast.
 
 Edge cases: null, empty and blank texts have fingerprint 0, linked like any other; one or two words are one shingle;
 long texts are hashed whole, in blocks; null doc_ids are carried and never become a component's id unless it has no
-other; repeated rows stay and share their class; an empty table gives an empty result; other columns are ignored by
-`simhash_components` and kept by `one_of_each`.
+other; repeated rows stay and share their class, `one_of_each` keeps one of them; an empty table gives an empty result; other
+columns are ignored by `simhash_components` and kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SEED = 42
 MOST_BITS = 2
 #: Keys with more members than this look neighbours up instead of comparing all of them; the result is the same.
 COMPARE_MOST = 256
+#: Rows from which on the label of a fingerprint is broadcast: there are so many labels less than rows.
+HEAVY = 100_000
 _BLOCK = 1 << 15
 
 
@@ -44,7 +47,12 @@ def fingerprint(text: str | None) -> int:
     if len(w) < WIDTH:
         return digest(b" ".join(w), SEED)
     n = len(w) - WIDTH + 1
-    hashes = np.fromiter((digest(b" ".join(s), SEED) for s in zip(w, w[1:], w[2:], strict=False)), np.uint64, n)
+    return majority(np.fromiter((digest(b" ".join(s), SEED) for s in zip(w, w[1:], w[2:], strict=False)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half the hashes."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, _BLOCK):  # unpacked bits are 64 bytes a shingle
         part = hashes[at : at + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -152,11 +160,12 @@ def links(fps: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root: the least node of each component, for nodes that have an edge.
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the least node of each component, for nodes that have an edge; `edges` is read often, so cut it first.
 
     Alternating stars: each node's larger neighbours move to its least neighbour, then its smaller ones do, until
-    nothing moves. Minima are partial aggregates, so a node of many links is no one task's work."""
+    nothing moves, which is after about log2 of the longest chain's length. Minima are partial aggregates, so a node of
+    many links is no one task's work."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -169,13 +178,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return out.where("a <> b").distinct()
 
     now, mark = edges, None
-    for _ in range(most_rounds):
+    while True:
         now = cut(star(star(now, True), False))
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (sums[0], sums[1]) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = (sums[0], sums[1])
-    raise RuntimeError(f"components not settled after {most_rounds} rounds")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -183,22 +191,30 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     by links; first tells the rows that stand for their component: its least (doc_id, text_hash), nulls last."""
     fps = cut(fingerprints(docs))
     mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    classes = fps.groupBy("fp").agg(F.min(mine).alias("least"))
-    roots = components(links(classes.select("fp")))
-    labelled = classes.join(roots, classes["fp"] == roots["node"], "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"), "least")
+    classes = cut(fps.groupBy("fp").agg(F.min(mine).alias("least"), F.count(F.lit(1)).alias("rows")))
+    roots = components(cut(links(classes.select("fp"))))
+    labelled = classes.join(roots, classes["fp"] == roots["node"], "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"), "least", "rows")
     least = labelled.groupBy("root").agg(F.min("least").alias("least"))
-    by_fp = labelled.select("f", "root").join(least, "root").select("f", "least")
-    first = mine.eqNullSafe(F.col("least"))
-    return fps.join(by_fp, fps["fp"] == by_fp["f"]).select("doc_id", "text_hash", "fp", F.col("least.doc_id").alias("component_id"), first.alias("first"))
+    by_fp = cut(labelled.select("f", "root", "rows").join(least, "root").select("f", "least", "rows"))
+    return by_label(fps, "fp", by_fp).select("doc_id", "text_hash", "fp", F.col("least.doc_id").alias("component_id"), mine.eqNullSafe(F.col("least")).alias("first"))
+
+
+def by_label(rows: DataFrame, column: str, labels: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """`rows` joined with `labels` (f, least, rows: how many rows have this f), whose f is `column`; no task holds all
+    rows of a frequent f."""
+    some = labels.where(F.col("rows") >= heavy).select("f", "least")
+    near = rows.join(F.broadcast(some), F.col(column) == F.col("f"), "left")
+    rest = near.where("f is null").drop("f", "least").join(labels.where(F.col("rows") < heavy).select("f", "least"), F.col(column) == F.col("f"))
+    return near.where("f is not null").unionByName(rest)
 
 
 def rows_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The rows of `docs` with a (doc_id, text_hash) of `firsts`, repeated ones once."""
-    key = lambda doc_id, text_hash: F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text_hash.cast("string"))
+    """The rows of `docs` with a (doc_id, text_hash) of `firsts`; of rows that share it the one of the least hash."""
+    key = lambda doc_id, text_hash: F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")), F.lit(":"), text_hash.cast("string"))
     keep = firsts.select(key(F.col("doc_id"), F.col("text_hash")).alias("_key")).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), key(F.col("doc_id"), F.xxhash64("text")).alias("_key"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), key(F.col("doc_id"), F.xxhash64("text")).alias("_key"), F.xxhash64(*docs.columns).alias("_hash"))
     rows = keyed.join(keep, "_key", "left_semi")
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))).where("_nth = 1")
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_hash"))).where("_nth = 1")
     return rows.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
