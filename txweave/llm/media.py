@@ -1,14 +1,16 @@
 """Media columns: texts' bytes kept as samples of an ISO base media file, and a demuxer of such files.
 
 `mux` writes ftyp, moov (one track with sample tables) and mdat. `probe` walks the nested boxes of any file of this
-kind, decodes the sample tables of each track (stts, stsc, stsz or stz2, stco or co64, stss) and returns codec,
-duration and the byte ranges of keyframes; it reads no payload. Samples are units of 64 bytes, eight to a chunk, every
-sixteenth a keyframe.
+kind, decodes the sample tables of each track (stts, stsc, stsz or stz2, stco or co64, stss) and what fragments add to
+them (moof, traf, tfhd, trun, with the defaults of trex), and returns codec, duration and the byte ranges of keyframes;
+it reads no payload. Samples are units of 64 bytes, eight to a chunk; the first is a keyframe, and so is each whose bytes
+add up to a multiple of sixteen, so keyframes follow the content as those of pictures do.
 
 Edge cases: null and empty texts make one unit of zeros; texts need no padding if their length is a positive multiple
-of 64; tables of constant sample size are stored as one number; sizes over 4 GB use 64-bit boxes and offsets; repeated
-rows give equal values; an empty table gives an empty result; other columns are ignored; a broken box (a size under its
-header or beyond its parent) raises ValueError.
+of 64; long texts are stored whole; tables of constant sample size are stored as one number; sizes over 4 GB use 64-bit
+boxes and offsets; repeated rows give equal values; an empty table gives an empty result; other columns, whatever their
+names, are ignored; a broken file (a box under its header or beyond its parent, a table cut short or missing, boxes
+nested deeper than MOST_DEEP) raises ValueError.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from txweave.llm.common import slices
 
 UNIT = 64
 UNITS_A_CHUNK = 8
-KEY_EVERY = 16
+KEY_SUM = 16
 TIMESCALE = 1000
 UNIT_TICKS = 40
 CODEC = b"dat8"
 #: Boxes that hold boxes only.
-CONTAINERS = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"])
+CONTAINERS = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"])
+MOST_DEEP = 12
 
 
 def pad(data: bytes) -> bytes:
@@ -65,6 +68,8 @@ def mux(payload: bytes) -> bytes:
     runs = [(1, UNITS_A_CHUNK if chunks > 1 else last, 1)]
     if chunks > 1 and last != UNITS_A_CHUNK:
         runs.append((chunks, last, 1))
+    sums = np.frombuffer(payload, np.uint8).reshape(n, UNIT).sum(axis=1, dtype=np.int64)
+    keys = np.flatnonzero((sums % KEY_SUM == 0) | (np.arange(n) == 0)) + 1
     wide = len(payload) > (1 << 32) - (1 << 24)
 
     def moov(first: int) -> bytes:
@@ -73,7 +78,7 @@ def mux(payload: bytes) -> bytes:
             b"stbl",
             full(b"stsd", struct.pack(">I", 1), box(CODEC, bytes(6), struct.pack(">H", 1))),
             full(b"stts", struct.pack(">III", 1, n, UNIT_TICKS)),
-            full(b"stss", _table(np.arange(1, n + 1, KEY_EVERY))),
+            full(b"stss", _table(keys)),
             full(b"stsc", struct.pack(">I", len(runs)), *(struct.pack(">III", *r) for r in runs)),
             full(b"stsz", struct.pack(">II", UNIT, n)),
             full(b"co64", _table(offsets, ">u8")) if wide else full(b"stco", _table(offsets)),
@@ -115,6 +120,8 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
             size = end - start
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} at {start} has a bad size {size}")
+        if len(path) >= MOST_DEEP:
+            raise ValueError(f"boxes nested too deep at {start}")
         yield (*path, kind), start + head, start + size
         if kind in CONTAINERS:
             yield from walk(data, start + head, start + size, (*path, kind))
@@ -129,6 +136,8 @@ def _numbers(data: bytes | memoryview, at: int, kind: str, width: int = 1) -> np
 
 def _sizes(data: bytes | memoryview, kind: bytes, at: int) -> np.ndarray:
     one, n = struct.unpack_from(">II", data, at)
+    if n > len(data):
+        raise ValueError(f"broken media file: {n} samples in {len(data)} bytes")
     if kind == b"stsz":
         return np.full(n, one, np.int64) if one else np.frombuffer(data, ">u4", n, at + 8).astype(np.int64)
     if one & 255 == 4:
@@ -149,7 +158,9 @@ def _track(data: bytes | memoryview, boxes: dict[bytes, int]) -> Track:
     runs = _numbers(data, at(b"stsc"), ">u4", 3)
     until = np.r_[runs[1:, 0], len(chunk) + 1]
     each = np.repeat(runs[:, 1], until - runs[:, 0])  # samples of each chunk
-    of = np.repeat(np.arange(len(each)), each)[: len(sizes)]
+    of = np.searchsorted(np.cumsum(each), np.arange(len(sizes)), side="right")
+    if len(of) and of[-1] >= len(each):
+        raise ValueError(f"broken media file: {len(sizes)} samples, chunks for {int(each.sum())}")
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(each) - each
     offsets = chunk[of] + before - before[first[of]] if len(sizes) else before
@@ -158,15 +169,89 @@ def _track(data: bytes | memoryview, boxes: dict[bytes, int]) -> Track:
     return Track(codec, timescale, duration, offsets, sizes, keys)
 
 
+class _Fragment(NamedTuple):
+    offsets: np.ndarray
+    sizes: np.ndarray
+    keys: np.ndarray  # of each sample: is it one?
+    ticks: int
+
+
+def _fragment(data: bytes | memoryview, moof: int, header: int, runs: list[int], defaults: dict[int, tuple[int, int, int]]) -> tuple[int, _Fragment]:
+    """Track number and samples of one traf: header is its tfhd, runs its truns, moof where its moof begins."""
+    flags, track = (v & 0xFFFFFF if k == 0 else v for k, v in enumerate(struct.unpack_from(">II", data, header)))
+    at, base = header + 8, moof
+    if flags & 1:
+        (base,), at = struct.unpack_from(">Q", data, at), at + 8
+    at += 4 * bool(flags & 2)
+    values = list(defaults.get(track, (0, 0, 0)))  # duration, size, flags
+    for k, bit in enumerate((8, 16, 32)):
+        if flags & bit:
+            (values[k],), at = struct.unpack_from(">I", data, at), at + 4
+    offsets, sizes, keys, ticks, place = [], [], [], 0, base
+    for run in runs:
+        given, n = (v & 0xFFFFFF if k == 0 else v for k, v in enumerate(struct.unpack_from(">II", data, run)))
+        at = run + 8
+        if given & 1:
+            (shift,), at = struct.unpack_from(">i", data, at), at + 4
+            place = base + shift
+        first = None
+        if given & 4:
+            (first,), at = struct.unpack_from(">I", data, at), at + 4
+        names = [k for k, bit in enumerate((0x100, 0x200, 0x400, 0x800)) if given & bit]
+        if n > len(data):
+            raise ValueError(f"broken media file: {n} samples in {len(data)} bytes")
+        rows = np.frombuffer(data, ">u4", n * len(names), at).astype(np.int64).reshape(n, len(names))
+        column = lambda k: rows[:, names.index(k)] if k in names else np.full(n, values[k], np.int64)  # noqa: B023, E731
+        size, flag = column(1), column(2).copy()
+        if first is not None and n:
+            flag[0] = first
+        offsets.append(place + np.cumsum(size) - size), sizes.append(size), keys.append((flag & 0x10000) == 0)
+        ticks += int(column(0).sum())
+        place += int(size.sum())
+    join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return track, _Fragment(join(offsets, np.int64), join(sizes, np.int64), join(keys, bool), ticks)
+
+
 def probe(data: bytes | memoryview) -> list[Track]:
-    """The tracks of an ISO media file."""
+    """The tracks of an ISO media file, with what its fragments add; ValueError if it is broken."""
+    try:
+        return _probe(data)
+    except (struct.error, KeyError, IndexError, OverflowError) as error:
+        raise ValueError(f"broken media file: {error!r}") from error
+
+
+def _probe(data: bytes | memoryview) -> list[Track]:
     found: list[dict[bytes, int]] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    fragments: list[tuple[int, int, list[int]]] = []  # moof, tfhd, truns
+    moof = 0
     for path, start, _ in walk(data):
         if path == (b"moov", b"trak"):
             found.append({})
         elif path[:2] == (b"moov", b"trak"):
             found[-1][path[-1]] = start
-    return [_track(data, boxes) for boxes in found if b"stbl" in boxes]
+        elif path == (b"moov", b"mvex", b"trex"):
+            track, _, duration, size, flags = struct.unpack_from(">5I", data, start + 4)
+            defaults[track] = duration, size, flags
+        elif path == (b"moof",):
+            moof = start - (16 if start >= 16 and struct.unpack_from(">I", data, start - 16)[0] == 1 and data[start - 12 : start - 8] == b"moof" else 8)
+        elif path == (b"moof", b"traf", b"tfhd"):
+            fragments.append((moof, start, []))
+        elif path == (b"moof", b"traf", b"trun"):
+            fragments[-1][2].append(start)
+    tracks = {(_track_number(data, boxes) or -k): _track(data, boxes) for k, boxes in enumerate(found, 1) if b"stbl" in boxes}
+    for place, head, runs in fragments:
+        number, more = _fragment(data, place, head, runs, defaults)
+        t = tracks[number]
+        keys = np.r_[t.keys, np.flatnonzero(more.keys) + len(t.sizes)]
+        tracks[number] = Track(t.codec, t.timescale, t.duration + more.ticks, np.r_[t.offsets, more.offsets], np.r_[t.sizes, more.sizes], keys)
+    return list(tracks.values())
+
+
+def _track_number(data: bytes | memoryview, boxes: dict[bytes, int]) -> int:
+    """The number of a track; 0 without a header."""
+    at = boxes.get(b"tkhd")
+    return 0 if at is None else struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
 
 
 def read_samples(data: bytes, track: Track) -> bytes:

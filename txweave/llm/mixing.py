@@ -11,7 +11,7 @@ The prefix sum takes levels, so no task holds a source: counts by (source, size)
 follows the input's bytes and the partitions, and sets the size of tasks alone.
 
 Only DataFrame functions are used. Edge cases: null, empty and blank texts have size 0 and may be taken without adding
-words; sources of no words get target 0 and no copies; a null source is a source of its own, the last one; repeated
+words; long texts are counted whole and taken whole, or not at all; sources of no words get target 0 and no copies; a null source is a source of its own, the last one; repeated
 rows are mixed as rows of their own; an empty table gives an empty result; the order of rows that tie does not
 matter, as they are equal in every column used. Reruns agree: offset and order are hashes.
 """

@@ -3,23 +3,27 @@
 Each rule rejects a document when one of its metrics is above a cutoff. The grid of cutoffs is fixed beforehand,
 so every labelled good document serves as holdout. For a stratum (a band of document lengths) with n good holdouts,
 k of which a cutoff rejects, the exact binomial tail P(Bin(n, alpha) <= k) tests "the cutoff rejects a share of alpha
-or more of good documents". The lowest cutoff whose tail is at most delta / (rules x cutoffs x strata), Bonferroni's
-correction over everything tried, is taken. With probability 1 - delta, all chosen rules at once reject less than
-alpha each, so less than alpha x rules together, of a stratum's good documents. A stratum with too few holdouts
-gets no cutoff and rejects nothing.
-
-Only DataFrame functions are used. Edge cases: null, empty and blank texts have no words and fail the base rule;
-repeated rows are judged alike; labels that contradict each other for one doc_id count as not good; labels without a
-document and documents without a label are harmless; an empty table gives an empty result; columns of other names
-are carried through `judge` untouched (its own columns replace columns of the same names).
+or more of good documents". The cutoffs of a rule are tested in a fixed sequence, the loosest first, at the level
+delta / (rules x strata): Bonferroni's correction over rules and strata; within the sequence none is needed, as testing
+stops at the first that fails, and a tighter cutoff rejects no fewer, so its tail is no smaller. The lowest cutoff that
+passes is taken. With probability 1 - delta, all chosen rules at once reject less than alpha each, so less than
+alpha x rules together, of a stratum's good documents. A stratum with too few holdouts gets no cutoff and rejects
+nothing.
+
+Only DataFrame functions are used. Edge cases: null, empty and blank texts have no words and fail the base rule; long
+texts are measured whole; a metric that equals (ties with) a cutoff is not above it; repeated rows are judged alike;
+labels that contradict each other for one doc_id count as not good; labels without a document and documents without a
+label are harmless; an empty table gives an empty result; `keep_good` carries all columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txweave.llm.common import SPACE_RE, WORD_RE, cut, words
+from txweave.llm.common import SPACE_RE, WORD_RE, cut, stored, words
 
 #: Metric -> cutoffs tried, all fixed before any label is seen.
 RULES = {
@@ -94,12 +98,23 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_upper", "_shout", "_n_lines")
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln n!: by Stirling's series from 16 on, where it is exact to the last places."""
+    x = F.greatest(n, F.lit(16)).cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return F.when(n < 16, F.log(F.factorial(F.least(n, F.lit(16)).cast("int")).cast("double"))).otherwise(series)
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k) for k <= n: the largest term by its logarithm, the others by their ratios down from k."""
-    up = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
-    log_choose = F.aggregate(up, F.lit(0.0), lambda a, j: a + F.log((n - j + 1) / j))
-    log_top = log_choose + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
-    down = F.reverse(up)
+    """P(Bin(n, p) <= k) for k <= n: the term of k by its logarithm, the others by their ratios down from it.
+
+    Terms so far below the mean that they vanish are left out, and a k so far above that the tail is 1 needs none: some
+    24 standard deviations remain, which is little more than the root of n."""
+    log_top = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
+    reach = F.ceil(12 * F.sqrt(n * p) + 200).cast("long")
+    end = F.greatest(F.lit(0), F.floor(n * p).cast("long") - reach)
+    one = k > F.ceil(n * p).cast("long") + reach
+    down = F.when((k > end) & ~one, F.sequence(k.cast("long"), end + 1, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def step(a: Column, j: Column) -> Column:
@@ -108,7 +123,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
     total = F.aggregate(down, start, step, lambda a: a["total"])
     log_tail = log_top + F.log(total)
-    return F.when(k >= n, F.lit(1.0)).when(log_tail > 0, 1.0).otherwise(F.exp(log_tail))
+    return F.when((k >= n) | one, F.lit(1.0)).when(log_tail > 0, 1.0).otherwise(F.exp(log_tail))
 
 
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -118,10 +133,10 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     len(BANDS) + 1 rows at most."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     held = measured.where(~F.col("base_failed")).join(good, "doc_id")
-    counts = [F.count(F.lit(1)).cast("int").alias("n")]
-    counts += [F.sum((F.col(r) > c).cast("int")).cast("int").alias(f"{r}_{i}") for r, grid in RULES.items() for i, c in enumerate(grid)]
+    counts = [F.count(F.lit(1)).alias("n")]
+    counts += [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{i}") for r, grid in RULES.items() for i, c in enumerate(grid)]
     tests = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, grid in RULES.items() for i, c in enumerate(grid)))
-    tried = len(tests_grid()) * (len(BANDS) + 1)
+    tried = len(RULES) * (len(BANDS) + 1)
     rows = held.groupBy("stratum").agg(*counts).select("stratum", "n", F.inline(tests))
     safe = rows.where(binomial_tail(F.col("k"), F.col("n"), alpha) <= delta / tried)
     return safe.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
@@ -149,10 +164,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of `docs` that are kept, with the same columns.
 
-    The metrics are computed again beside the text rather than joined back: that takes time but no shuffle of texts,
-    and it needs no unique key."""
+    Rows are stored with their metrics, so that nothing is measured twice and no text is shuffled; choosing the cutoffs
+    reads the columns of metrics alone."""
     own = docs.columns
-    measured = cut(with_metrics(docs.select("doc_id", "text")).drop("text"))
+    inner = docs.select(F.struct(*own).alias("_row"), F.col("text"), F.col("doc_id"))
+    measured = stored(with_metrics(inner).drop("text"))
     cutoffs = choose_cutoffs(measured, labels, alpha, delta)
-    inner = docs.select(F.struct(*own).alias("_row"), F.col("text"))
-    return judge(with_metrics(inner), cutoffs).where("kept").select(*(F.col("_row").getField(c).alias(c) for c in own))
+    return judge(measured, cutoffs).where("kept").select(*(F.col("_row").getField(c).alias(c) for c in own))

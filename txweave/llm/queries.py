@@ -92,7 +92,7 @@ def _op2_sql() -> str:
     rules = quality_rules.RULES
     grid = ", ".join(f"('{r}', CAST({c} AS DOUBLE))" for r, c in quality_rules.tests_grid())
     alpha, delta, bands = quality_rules.ALPHA, quality_rules.DELTA, quality_rules.BANDS
-    tried = len(quality_rules.tests_grid()) * (len(bands) + 1)
+    tried = len(rules) * (len(bands) + 1)
     metric = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in rules) + " END"
     stratum = " + ".join(f"CASE WHEN n_words > {b} THEN 1 ELSE 0 END" for b in bands)
     return rf"""
@@ -123,5 +123,45 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 """
 
 
+def _op8_sql() -> str:
+    """Rules, Witten-Bell models by levels, scores of all URLs and the calibrated cutoff."""
+    f = url_filter
+    upper, lower = f.UPPER, f.LOWER
+    rules = sorted(f.RULES, key=lambda r: -len(r.host + r.path))
+    fits = [f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in rules]
+    pick = lambda value: "CASE " + " ".join(f"WHEN {c} THEN {value(r)}" for c, r in zip(fits, rules, strict=True)) + " END"
+    levels = [
+        f"""l0 AS (SELECT key, (allow + 1.0) / (sum(allow) OVER () + {f.ALPHABET}) AS pa, (block + 1.0) / (sum(block) OVER () + {f.ALPHABET}) AS pb
+  FROM (SELECT right(gram, 1) AS key, sum(allow) AS allow, sum(block) AS block FROM counts GROUP BY 1))"""
+    ]
+    for k in range(1, f.ORDER + 1):
+        mixed = lambda s: f"CASE WHEN n{s} = 0 THEN p{s} ELSE (c{s} + t{s} * p{s}) / (n{s} + t{s}) END AS p{s}"
+        levels.append(
+            f"""l{k} AS (SELECT key, {mixed('a')}, {mixed('b')} FROM (SELECT x.key, ca, cb, pa, pb, sum(ca) OVER w AS na, sum(cb) OVER w AS nb,
+  sum(CAST(ca > 0 AS INTEGER)) OVER w AS ta, sum(CAST(cb > 0 AS INTEGER)) OVER w AS tb
+  FROM (SELECT right(gram, {k + 1}) AS key, CAST(sum(allow) AS DOUBLE) AS ca, CAST(sum(block) AS DOUBLE) AS cb FROM counts GROUP BY 1) x JOIN l{k - 1} y ON right(x.key, {k}) = y.key
+  WINDOW w AS (PARTITION BY left(x.key, {k}))))"""
+        )
+    start = "^" * f.ORDER
+    return rf"""
+WITH u AS (SELECT page_id, url, instr(coalesce(url, ''), '://') AS pos FROM pages),
+r AS (SELECT *, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+j AS (SELECT *, {pick(lambda x: f"'{x.host}{x.path}'")} AS rule, {pick(lambda x: f"'{x.verdict}'")} AS by_rule, {pick(lambda x: len(x.host))} AS hl, {pick(lambda x: len(x.path))} AS pl,
+  coalesce(substr(md5(url), 1, 1) IN ('0', '1', '2'), false) AS held FROM h),
+c AS (SELECT *, CASE WHEN pos > 0 THEN substr(url, 1, pos + 2 + length(host) - greatest(coalesce(hl, 0), length(regexp_extract(host, '([^.]*)\z', 1))))
+  || substr(url, pos + 3 + length(host) + greatest(coalesce(pl, 0), length(regexp_extract(path, '^(/[^/]*/?)', 1)))) ELSE coalesce(url, '') END AS rest_of FROM j),
+t AS (SELECT *, '{start}' || regexp_replace(regexp_replace(translate(rest_of, '{upper}', '{lower}'), '[0-9]', '9', 'g'), '[^a-z9:/?#\[\]@!&''()*+,;=._~%-]', '|', 'g') || '$' AS chars FROM c),
+g AS (SELECT by_rule, held, chars, substr(chars, i, {f.ORDER + 1}) AS gram FROM (SELECT by_rule, held, chars, unnest(generate_series(1, length(chars) - {f.ORDER})) AS i FROM t)),
+counts AS (SELECT gram, count(*) FILTER (WHERE by_rule = 'allow' AND NOT held) AS allow, count(*) FILTER (WHERE by_rule = 'block' AND NOT held) AS block FROM g GROUP BY 1),
+{", ".join(levels)},
+s AS (SELECT chars, round(avg(ln(pa) - ln(pb)), 9) AS score FROM g JOIN l{f.ORDER} ON key = gram GROUP BY 1),
+known AS (SELECT count(*) AS n, list_sort(list(score)) AS scores FROM t JOIN s USING (chars) WHERE held AND by_rule = 'allow'),
+taught AS (SELECT count(DISTINCT by_rule) AS sides FROM t WHERE NOT held),
+cut AS (SELECT CASE WHEN n >= {f.LEAST} AND sides = 2 THEN scores[CAST(floor({f.RISK} * n) AS BIGINT) + 1] END AS least FROM known, taught)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN least IS NULL OR score >= least THEN 'allow' ELSE 'block' END) AS verdict, score FROM t JOIN s USING (chars), cut
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_quality_rules": _op2_sql()}
+    return {"op1_substring_dedup": OP1_SQL, "op2_quality_rules": _op2_sql(), "op8_url_filters": _op8_sql()}

@@ -69,7 +69,7 @@ def by_rule(host: Column, path: Column, rules: list[Rule] = RULES) -> Column:
 
 def unjudged_part(url: Column, host: Column, path: Column, rule: Column) -> Column:
     """The URL without the host's end and the path's beginning."""
-    last = F.length(F.regexp_extract(host, r"([^.]*)$", 1))
+    last = F.length(F.regexp_extract(host, r"([^.]*)\z", 1))
     first = F.length(F.regexp_extract(path, r"^(/[^/]*/?)", 1))
     h = F.greatest(F.coalesce(rule["host"], F.lit(0)), last)
     p = F.greatest(F.coalesce(rule["path"], F.lit(0)), first)
