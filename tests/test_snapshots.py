@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from txweave.functions import ids
-from txweave.operators import backup, metrics, reconcile, snapshots, workload
+from txweave.operators import backup, frontier, metrics, reconcile, snapshots, workload
 from txweave.sources import log, model, store
 
 KV = "cache string, snapshot_id long, key string, seq long, value string, is_delete boolean"
@@ -111,16 +111,70 @@ def test_scopes_and_log(spark, tmp_path):
     assert [r.tx_id for r in log.numbered(spark.range(5, 50, 9), "id", 3).orderBy("id").collect()] == [3, 4, 5, 6, 7]
 
 
-def test_fan_out_suspends_a_failing_sink(spark):
-    seen, suspended = [], {}
+def test_fan_out_suspends_a_failing_sink(spark, tmp_path):
+    seen, suspensions = [], log.Suspensions(spark, f"{tmp_path}/suspended")
 
     def broken(batch, batch_id):
         raise OSError("gone")
 
-    write = log.fan_out({"a": lambda b, i: seen.append((i, b.count())), "b": broken}, suspended)
+    write = log.fan_out({"a": lambda b, i: seen.append((i, b.count())), "b": broken}, suspensions)
     write(spark.range(3), 0)
     write(spark.range(4), 1)
-    assert seen == [(0, 3), (1, 4)] and list(suspended) == ["b"] and "batch 0" in suspended["b"]
+    assert seen == [(0, 3), (1, 4)] and log.Suspensions(spark, f"{tmp_path}/suspended").now() == {"b": 0}  # a restart knows
+    suspensions.resume("b")
+    assert suspensions.now() == {}
+
+
+def test_upsert_into_a_database(spark):
+    url, options = "jdbc:derby:memory:upserts;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string")
+    store.write_jdbc(first, url, "people", options)
+    batch = spark.createDataFrame([(2, "B", False), (3, None, True), (4, "d", False), (9, None, True)], "id long, name string, deleted boolean")
+    for _ in range(2):  # a repeated batch changes nothing
+        store.upsert_jdbc(batch, url, "people", "id", "deleted", options)
+    rows = spark.read.jdbc(url, "people", properties=options)
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "a"), (2, "B"), (4, "d")]
+    assert store.read_jdbc(spark, url, "people", "id", 1, 4, 2).count() == 3
+
+
+def test_restore_and_rollback_refuse_while_transactions_run(spark, tmp_path):
+    kv = spark.createDataFrame([("c", 0, 5, 0, "x", False), ("c", 1, 5, 1, "y", False)], model.VERSIONS)
+    tree = spark.createDataFrame([(0, None), (1, 0)], model.TREE)
+    after = backup.full_backup(kv, tree, 1, 2, f"{tmp_path}/backup")
+    assert sorted((r.id, r.parent_id or 0) for r in after.collect()) == [(0, 0), (1, 0), (2, 1)]
+    with pytest.raises(RuntimeError, match="running"):
+        backup.restore_all(kv, after, f"{tmp_path}/backup", model.VERSIONS, spark.range(1))
+    with pytest.raises(RuntimeError, match="running"):
+        snapshots.rollback(tree, 0, 9, spark.range(1))
+    later = kv.unionByName(spark.createDataFrame([("c", 2, 7, 2, "z", False)], model.VERSIONS))
+    rows, restored_tree, stale = backup.restore_all(later, after, f"{tmp_path}/backup", model.VERSIONS, spark.range(0))
+    assert rows.count() == 3 and restored_tree.count() == 2 and [tuple(r) for r in stale.collect()] == [("c", 7)]
+    with pytest.raises(Exception, match="EXISTS"):
+        backup.export(kv, tree, f"{tmp_path}/backup")
+
+
+def test_gaps_are_listed_in_pieces(spark):
+    ids = spark.createDataFrame([(0,), (1,), (5,), (300,)], "tx_id long")
+    expected = [2, 3, 4, *range(6, 300)]
+    assert sorted(r.tx_id for r in frontier.gaps(ids, piece=7).collect()) == expected
+    assert sorted(tuple(r) for r in frontier.gap_ranges(ids).collect()) == [(2, 4), (6, 299)]
+    assert [r.tx_id for r in reconcile.missed(ids, ids.where("tx_id < 2"), 1).orderBy("tx_id").collect()] == expected
+    assert reconcile.missed(ids, ids.where("tx_id < 1"), 1).count() == 0  # what is dense is not committed yet
+    assert sorted(tuple(r) for r in reconcile.reconciliation(ids, 400).collect()) == [(2, 4), (6, 299), (301, 400)]
+
+
+def test_moving_rates_go_through_ticks(spark):
+    import math
+
+    counts = [3, 0, 0, 7, 1, 0, 4]
+    rows = [("a", k * 5 + 1) for k, n in enumerate(counts) for _ in range(n)]
+    frame = spark.createDataFrame(rows, "g string, s long").selectExpr("g", "timestamp_seconds(s) AS ts")
+    (row,) = metrics.moving_rates(frame, ["g"], "ts").collect()
+    for m in (1, 5, 15):
+        rate = counts[0] / 5
+        for n in counts[1:]:
+            rate += (1 - math.exp(-5 / 60 / m)) * (n / 5 - rate)
+        assert row[f"m{m}"] == pytest.approx(rate)
 
 
 def test_repair_and_metrics(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from txweave.operators import apply
 from txweave.sources import log, model
 from txweave.streaming.apply import LogApplier
-from txweave.streaming.heartbeats import beat
+from txweave.streaming.heartbeats import beat, liveness
 
 
 def changes(spark, ids):
@@ -30,6 +30,24 @@ def test_micro_batches_equal_one_batch(spark, tmp_path):
     assert applier.last() == before
 
 
+def test_what_is_blocked_waits_with_its_dependents(spark, tmp_path):
+    busy = {3}
+    applier = LogApplier(spark, f"{tmp_path}/state", lambda scope: scope.where(F.col("tx_id").isin(list(busy) or [-1])).select("tx_id"), compact=2)
+    rows = lambda ids: model.nested(spark.createDataFrame([(t, 0, "c", t % 2, f"v{t}", False) for t in ids], model.CHANGES))
+    table = lambda: {r.key: r.tx_id for r in applier.table().collect()}
+    applier.apply(rows([0, 1, 2]), 0)
+    assert table() == {0: 2, 1: 1} and applier.last() == (0, 2)
+    applier.apply(rows([3, 4, 5, 6]), 1)  # 3 is in progress, 5 depends on it
+    assert table() == {0: 6, 1: 1} and applier.last() == (1, 2)
+    applier.apply(rows([8]), 2)  # 7 is missing
+    assert table() == {0: 6, 1: 1}
+    busy.clear()
+    applier.apply(rows([4]), 3)  # late and known
+    assert table() == {0: 6, 1: 5} and applier.last() == (3, 6)
+    applier.apply(rows([7]), 4)
+    assert table() == {0: 8, 1: 7} and applier.last() == (4, 8)
+
+
 class State:
     """A reader's state as the stream would hand it over."""
 
@@ -59,3 +77,12 @@ def test_readers_are_found_lost_and_found_again():
     assert beat(("a",), iter([]), state, 60).iloc[0].tolist() == ["a", "lost", 4] and not state.exists
     state.hasTimedOut = False
     assert step() == ["a", "found", 2]
+
+
+def test_heartbeats_as_a_stream(spark, tmp_path):
+    beats = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "reader_id string, ts long")
+    beats.coalesce(1).write.parquet(f"{tmp_path}/beats")
+    stream = spark.readStream.schema("reader_id string, ts long").parquet(f"{tmp_path}/beats")
+    query = liveness(stream, 60).writeStream.format("memory").queryName("beats_seen").outputMode("update").trigger(availableNow=True).start()
+    assert query.awaitTermination(120) and query.exception() is None
+    assert sorted(tuple(r) for r in spark.table("beats_seen").collect()) == [("a", "found", 2), ("b", "found", 1)]

@@ -5,7 +5,7 @@ changes: cache, key, tx_id, seq (order within a transaction), value, is_delete.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txweave.operators.closure import closure
@@ -30,6 +30,14 @@ def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:
     return live(old.unionByName(changes.select(*KEY, "tx_id", F.col("seq").cast("long").alias("seq"), "value", "is_delete")))
 
 
+def tombstone(columns: list[str], deleted: str | None = None) -> Column:
+    """Is a row of value columns a delete? It is where all are null, and where the first that is not null holds the mark.
+
+    One column: a primitive or serialized value; several: the fields of an object. deleted: the stored mark, if any."""
+    first = F.coalesce(*(F.col(c).cast("string") for c in columns))
+    return first.isNull() if deleted is None else first.isNull() | (first == deleted)
+
+
 def main_origin(changes: DataFrame) -> DataFrame:
     """Writes captured on the main cluster; those replayed on a replica are not captured again."""
     return changes.where(F.col("origin") == "main")

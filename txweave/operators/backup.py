@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txweave.operators.snapshots import changed_keys, create, tree_difference
+from txweave.operators.state import forget
+
 
 class ChecksumError(ValueError):
     """The restored rows are not those that were saved."""
@@ -47,3 +50,28 @@ def restored(current: DataFrame, backup: DataFrame) -> DataFrame:
     """The current rows with every version of the backup put in place of the present one."""
     versions = backup.select("cache", "snapshot_id").distinct()
     return current.join(versions, ["cache", "snapshot_id"], "left_anti").unionByName(backup)
+
+
+def full_backup(kv: DataFrame, tree: DataFrame, head: int | None, new_id: int, destination: str) -> DataFrame:
+    """Saves the tree and all its versions, and returns the tree with a new head, under which writing goes on.
+
+    The list of versions is taken before the head is created. If saving fails, what was written of it is removed."""
+    known = tree.select("id")
+    try:
+        export(kv, tree, destination, known)
+    except Exception:
+        forget(kv.sparkSession, destination)
+        raise
+    return create(tree, head, new_id)
+
+
+def restore_all(current: DataFrame, current_tree: DataFrame, source: str, schema: str, running: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows and tree after a restore, and the (cache, key) that it makes stale: those of versions in one tree only.
+
+    Refuses while transactions are running (a table of them); raises ChecksumError if the backup is damaged."""
+    if not running.isEmpty():
+        raise RuntimeError("transactions are running")
+    kv, tree = restore(current.sparkSession, source, schema)
+    rows = restored(current, kv)
+    differing = tree_difference(current_tree, tree).select(F.col("id").alias("snapshot_id"))
+    return rows, tree, changed_keys(rows, differing)

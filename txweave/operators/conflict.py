@@ -22,8 +22,8 @@ def dependency_edges(scope: DataFrame) -> DataFrame:
 
 def blockers(scope: DataFrame) -> DataFrame:
     """tx_id, blockers: how many distinct transactions it waits for directly; 0 for free ones."""
-    edges = dependency_edges(scope).select("tx_id", "prev_tx").distinct().groupBy("tx_id").agg(F.count(F.lit(1)).alias("n"))
-    return scope.select("tx_id").distinct().join(edges, "tx_id", "left").select("tx_id", F.coalesce("n", F.lit(0)).cast("long").alias("blockers"))
+    rows = prefixes(scope.select(*KEY, "tx_id"), KEY, "tx_id", {"prev_tx": ("max", F.col("tx_id"))})
+    return rows.select("tx_id", "prev_tx").distinct().groupBy("tx_id").agg(F.count("prev_tx").alias("blockers"))
 
 
 def ready(scope: DataFrame) -> DataFrame:
@@ -38,20 +38,20 @@ def waves_of_single_keys(scope: DataFrame) -> DataFrame:
     return rows.select("tx_id", F.col("wave").cast("long").alias("wave"))
 
 
-def waves(scope: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def waves(scope: DataFrame) -> DataFrame:
     """tx_id, wave: the longest chain of dependencies below each transaction, by rounds over what changed.
 
-    There are as many rounds as the longest chain has links: use it for shallow graphs."""
+    There are as many rounds as the longest chain has links: use it for shallow graphs. The loop ends, as edges lead
+    from smaller ids to larger ones."""
     edges = cut(dependency_edges(scope).select("tx_id", "prev_tx").distinct())
     level = cut(scope.select("tx_id").distinct().withColumn("wave", F.lit(0).cast("long")))
     moved = level
-    for _ in range(most_rounds):
+    while True:
         step = edges.join(moved.select(F.col("tx_id").alias("prev_tx"), "wave"), "prev_tx").groupBy("tx_id").agg((F.max("wave") + 1).alias("to"))
         moved = cut(level.join(step, "tx_id").where(F.col("to") > F.col("wave")).select("tx_id", F.col("to").alias("wave")))
         if moved.isEmpty():
             return level
         level = cut(level.join(moved.withColumnRenamed("wave", "to"), "tx_id", "left").select("tx_id", F.coalesce("to", "wave").alias("wave")))
-    raise RuntimeError(f"chains of more than {most_rounds} transactions")
 
 
 def reader_conflicts(scope: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from txweave.operators.prefix import prefixes
 
 NOT_READY, READY = -2, -1
+#: Missing ids that one row lists at most.
+PIECE = 1 << 16
 
 
 def distinct_ids(df: DataFrame, column: str = "tx_id") -> DataFrame:
@@ -30,13 +32,19 @@ def frontier_value(ids: DataFrame, start: int = READY) -> int:
     return frontier(ids, start).first()[0]
 
 
-def gaps(ids: DataFrame, start: int = READY) -> DataFrame:
-    """tx_id of each missing id between `start` and the largest present one, ascending neighbours compared in two
-    levels."""
+def gap_ranges(ids: DataFrame, start: int = READY) -> DataFrame:
+    """first, last of each hole between `start` and the largest present id, neighbours compared in two levels."""
     rows = prefixes(ids.where(F.col("tx_id") > start), [], "tx_id", {"previous": ("max", F.col("tx_id"))})
     previous = F.coalesce("previous", F.lit(start))
-    holes = rows.where(F.col("tx_id") - previous > 1)
-    return holes.select(F.explode(F.sequence(previous + 1, F.col("tx_id") - 1)).alias("tx_id"))
+    return rows.where(F.col("tx_id") - previous > 1).select((previous + 1).alias("first"), (F.col("tx_id") - 1).alias("last"))
+
+
+def gaps(ids: DataFrame, start: int = READY, piece: int = PIECE) -> DataFrame:
+    """tx_id of each missing id; a hole is cut into pieces before it is listed, so no row holds more than `piece` ids."""
+    at = F.sequence(F.floor(F.col("first") / piece), F.floor(F.col("last") / piece))
+    pieces = gap_ranges(ids, start).select("first", "last", F.explode(at).alias("_at"))
+    low, high = F.greatest("first", F.col("_at") * piece), F.least("last", F.col("_at") * piece + (piece - 1))
+    return pieces.select(F.explode(F.sequence(low, high)).alias("tx_id"))
 
 
 def sparse_tail(ids: DataFrame, start: int = READY) -> DataFrame:
@@ -104,6 +112,14 @@ def changed_offsets(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(was, "topic_partition", "left").where("was is null or was <> frontier").select("topic_partition", "frontier")
 
 
+def topic_partitions(*sets: DataFrame) -> DataFrame:
+    """topic_partition of those that any of the tables names: whose offsets a batch may move."""
+    out = sets[0].select("topic_partition")
+    for s in sets[1:]:
+        out = out.union(s.select("topic_partition"))
+    return out.distinct()
+
+
 def caught_up(records: DataFrame, end_offsets: DataFrame) -> DataFrame:
     """topic_partition, alive: has the last record before the end offset been read?"""
     last = records.groupBy("topic_partition").agg(F.max("offset").alias("last"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txweave.operators.frontier import frontier_value, gap_ranges, gaps
+
 #: The older rule waits this long before it believes a gap.
 PATIENCE_S = 120
 
@@ -18,6 +20,22 @@ def gap_confirmed(waited_s: float, patience_s: float = PATIENCE_S) -> bool:
     return waited_s > patience_s
 
 
+def missed(ids: DataFrame, committed: DataFrame, last_checked: int | None) -> DataFrame:
+    """tx_id to ask for again: all gaps among the read ids, if a gap is suspected; none otherwise.
+
+    ids: distinct tx_id that were read; committed: those committed. Wires `gap_suspected` to both frontiers."""
+    done, read = frontier_value(committed), frontier_value(ids)
+    beyond = ids.where(F.col("tx_id") > read)
+    queued = 0 if beyond.isEmpty() else 1
+    return gaps(ids) if gap_suspected(done, read, last_checked, queued) else gaps(ids.limit(0))
+
+
+def reconciliation(ids: DataFrame, bound: int) -> DataFrame:
+    """first, last of each hole that must be copied from the log until the frontier reaches `bound`; none: consumers go
+    on."""
+    return gap_ranges(ids.where(F.col("tx_id") <= bound).union(ids.sparkSession.range(bound + 1, bound + 2).toDF("tx_id"))).where(F.col("first") <= bound)
+
+
 def repair(missing: DataFrame, log: DataFrame) -> DataFrame:
     """tx_id, found, scope of each missing id: the log's record, or an empty transaction that fills the gap."""
     record = log.select("tx_id", "scope", F.lit(True).alias("_found"))

@@ -121,8 +121,10 @@ def merge(tree: DataFrame, merged: DataFrame, labels: DataFrame, from_id: int, t
     return create(moved, above, new_id), gone, relabelled
 
 
-def rollback(tree: DataFrame, target: int, new_id: int) -> DataFrame:
-    """The tree with a new head under the target."""
+def rollback(tree: DataFrame, target: int, new_id: int, running: DataFrame | None = None) -> DataFrame:
+    """The tree with a new head under the target; refused while transactions are running (a table of them)."""
+    if running is not None and not running.isEmpty():
+        raise RuntimeError("transactions are running")
     if tree.where(F.col("id") == target).isEmpty():
         raise ValueError(f"unknown snapshot {target}")
     return create(tree, target, new_id)

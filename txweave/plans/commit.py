@@ -14,6 +14,10 @@ from txweave.operators.conflict import KEY, reader_conflicts
 from txweave.operators.prefix import prefixes
 
 
+#: Ids in one list of a plan at most.
+LISTED = 1 << 16
+
+
 def plan_single_key(txs: DataFrame, bad: Column | None = None) -> DataFrame:
     """tx_id, reader_id that may be committed, for live transactions of one key each.
 
@@ -39,20 +43,17 @@ def plan(scope: DataFrame, txs: DataFrame) -> DataFrame:
     return txs.join(blocked, "tx_id", "left_anti").select("tx_id", "reader_id")
 
 
-def by_reader(planned: DataFrame) -> DataFrame:
-    """reader_id, tx_ids: each reader's transactions in order, for handing them out."""
-    return planned.groupBy("reader_id").agg(F.sort_array(F.collect_list("tx_id")).alias("tx_ids"))
-
-
-def in_chunks(planned: DataFrame, size: int) -> DataFrame:
-    """reader_id, chunk, tx_ids: the same in lists of bounded size, each over a range of ids."""
+def by_reader(planned: DataFrame, size: int = LISTED) -> DataFrame:
+    """reader_id, chunk, tx_ids: each reader's transactions in order, for handing them out, in lists of `size` at most,
+    each over a range of ids."""
     ranged = planned.withColumn("chunk", F.floor(F.col("tx_id") / size).cast("long"))
     return ranged.groupBy("reader_id", "chunk").agg(F.sort_array(F.collect_list("tx_id")).alias("tx_ids"))
 
 
 def joined_responses(first: DataFrame, second: DataFrame) -> DataFrame:
-    """reader_id, tx_ids of two answers, the second's behind the first's."""
-    other = second.select("reader_id", F.col("tx_ids").alias("_more"))
+    """Two answers (reader_id, tx_ids and, if lists are cut, chunk) as one, the second's ids behind the first's."""
+    on = [c for c in first.columns if c != "tx_ids"]
+    other = second.select(*on, F.col("tx_ids").alias("_more"))
     none = F.array().cast("array<bigint>")
-    out = first.join(other, "reader_id", "full")
-    return out.select("reader_id", F.concat(F.coalesce("tx_ids", none), F.coalesce("_more", none)).alias("tx_ids"))
+    out = first.join(other, on, "full")
+    return out.select(*on, F.concat(F.coalesce("tx_ids", none), F.coalesce("_more", none)).alias("tx_ids"))

@@ -6,6 +6,7 @@ event a change of its user's entry in the cache of its type. Readers are ids mod
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from txweave.functions import ids
 from txweave.operators import apply, backup, closure, conflict, frontier, metrics, reconcile, snapshots, workload
+from txweave.operators.state import checkpoint_dir
 from txweave.plans import commit, readers
 from txweave.sources import log, model
+from txweave.streaming.apply import LogApplier
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,9 +135,11 @@ def flatten_value(spark, sf_dir):
     return model.spread(rows, "key", "val", "k bigint")
 
 
-@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey IN (1, 7, 42, 77)")
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey IN (SELECT min(o_custkey) FROM orders UNION SELECT max(o_custkey) FROM orders UNION SELECT arg_max(o_custkey, (o_totalprice, o_custkey)) FROM orders)")
 def key_lookup(spark, sf_dir):
-    return model.lookup(_table(spark, sf_dir, "customer"), "c_custkey", [1, 7, 42, 77]).select("c_custkey", "c_name", "c_acctbal")
+    """The first and the last customer with orders and the one of the dearest order: point reads by literal keys."""
+    o = _table(spark, sf_dir, "orders").agg(F.min("o_custkey"), F.max("o_custkey"), F.max_by("o_custkey", F.struct("o_totalprice", "o_custkey")))
+    return model.lookup(_table(spark, sf_dir, "customer"), "c_custkey", list(o.first())).select("c_custkey", "c_name", "c_acctbal")
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
@@ -345,8 +350,9 @@ def plan_commit(spark, sf_dir):
 
 @query(f"WITH {_PLAN} SELECT reader_id, CAST(count(*) AS BIGINT) AS planned, min(tx_id) AS first_tx, max(tx_id) AS last_tx FROM planned GROUP BY reader_id")
 def plan_by_reader(spark, sf_dir):
-    lists = commit.by_reader(plan_commit(spark, sf_dir))
-    return lists.select("reader_id", F.size("tx_ids").cast("long").alias("planned"), F.get("tx_ids", F.lit(0)).alias("first_tx"), F.element_at("tx_ids", -1).alias("last_tx"))
+    lists = commit.by_reader(plan_commit(spark, sf_dir), 1000)
+    each = lists.select("reader_id", F.size("tx_ids").cast("long").alias("n"), F.get("tx_ids", F.lit(0)).alias("a"), F.element_at("tx_ids", -1).alias("b"))
+    return each.groupBy("reader_id").agg(F.sum("n").alias("planned"), F.min("a").alias("first_tx"), F.max("b").alias("last_tx"))
 
 
 _LIVE = """t AS (SELECT DISTINCT o_orderkey AS tx_id, o_orderkey % 2 AS reader_id, cache, key FROM
@@ -632,6 +638,239 @@ def tree_difference(spark, sf_dir):
     return snapshots.tree_difference(tree.where("id % 5 <> 0"), tree.where("id <= 25"))
 
 
+@query(f"WITH RECURSIVE {_TREE}, line AS (SELECT id AS snapshot_id, 13 - id AS depth FROM tree WHERE id BETWEEN 9 AND 13) SELECT snapshot_id, depth FROM line")
+def snapshot_line(spark, sf_dir):
+    return snapshots.line_path(_tree(spark, sf_dir), 9, 13)
+
+
+@query(f"WITH {_TREE} SELECT id, 'day' || CAST(id AS VARCHAR) AS first_label, CAST(CASE WHEN id % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS labels FROM tree")
+def snapshot_labels(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    name = lambda w: F.concat(F.lit(w), F.col("id").cast("string"))
+    labels = tree.select(name("day").alias("label"), "id").union(tree.where("id % 7 = 0").select(name("week").alias("label"), "id"))
+    return snapshots.labels_of(labels).select("id", F.get("labels", F.lit(0)).alias("first_label"), F.size("labels").cast("long").alias("labels"))
+
+
+@query(f"WITH {_TREE} SELECT id, parent_id FROM tree UNION ALL SELECT 100, max(id) FROM tree")
+def snapshot_created(spark, sf_dir):
+    """A new head under the latest day, labelled, found by its label."""
+    tree = _tree(spark, sf_dir)
+    head = tree.agg(F.max("id")).first()[0]
+    labels = snapshots.add_label(tree.select(F.concat(F.lit("day"), F.col("id").cast("string")).alias("label"), "id"), "latest", head)
+    return snapshots.create(tree, snapshots.find(labels, "latest"), 100)
+
+
+@query(f"WITH {_VERSIONS} SELECT cache, snapshot_id, CAST(count(*) AS BIGINT) AS \"rows\", CAST(sum(seq) AS BIGINT) AS seqs, CAST(count(*) FILTER (WHERE is_delete) AS BIGINT) AS deletes FROM kv GROUP BY 1, 2")
+def backup_restored(spark, sf_dir):
+    """A full backup of all versions, restored over a table that lost every second day and checked by its manifest."""
+    kv, tree = _versions(spark, sf_dir), _tree(spark, sf_dir)
+    path = _folder(spark, "backup")
+    after = backup.full_backup(kv, tree, _LAST, 100, path)
+    rows, _, _ = backup.restore_all(kv.where("snapshot_id % 2 = 0"), after, path, model.VERSIONS, spark.range(0))
+    return rows.groupBy("cache", "snapshot_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("seq").alias("seqs"), F.count_if("is_delete").alias("deletes"))
+
+
+@query(f"WITH {_TREE}, {_VERSIONS} SELECT DISTINCT cache, key FROM kv WHERE snapshot_id = (SELECT max(id) FROM tree)")
+def restore_invalidated_keys(spark, sf_dir):
+    """Restoring a backup of all days but the last makes the keys of the last one stale."""
+    kv, tree = _versions(spark, sf_dir), _tree(spark, sf_dir)
+    path = _folder(spark, "backup")
+    days = tree.where(F.col("id") < tree.agg(F.max("id")).first()[0])
+    backup.export(kv, days, path, days)
+    return backup.restore_all(kv, tree, path, model.VERSIONS, spark.range(0))[2]
+
+
+# --- the log, written and read ----------------------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _nested_events(spark, sf_dir):
+    return model.nested(_events(spark, sf_dir).withColumn("value", F.when(~F.col("is_delete"), F.col("value").cast("string"))))
+
+
+@query("SELECT event_id AS tx_id, CAST(event_id % 8 AS INTEGER) AS topic_partition, event_type AS cache, user_id AS key FROM events")
+def log_round_trip(spark, sf_dir):
+    path = _folder(spark, "log")
+    log.append_log(_nested_events(spark, sf_dir), path, 8)
+    return log.read_log(spark, path).select("tx_id", "topic_partition", F.inline("scope")).select("tx_id", "topic_partition", "cache", F.explode("keys").alias("key"))
+
+
+@query("SELECT event_id AS tx_id, CAST(event_id % 4 AS INTEGER) AS topic_partition FROM events WHERE event_id BETWEEN (SELECT max(event_id) // 3 FROM events) AND (SELECT max(event_id) // 2 FROM events)")
+def log_copied(spark, sf_dir):
+    """A third to a half of the log, copied to a replica's with other partitions."""
+    path = _folder(spark, "log")
+    log.append_log(_nested_events(spark, sf_dir), f"{path}/main", 8)
+    last = _table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    log.copied(spark, f"{path}/main", f"{path}/replica", last // 3, last // 2, 4)
+    return log.read_log(spark, f"{path}/replica").select("tx_id", "topic_partition")
+
+
+@query("""SELECT 'local' AS sink, event_id AS tx_id, event_id AS stamp FROM events UNION ALL SELECT 'remote', event_id, NULL FROM events""")
+def log_published(spark, sf_dir):
+    """Every event sent to the own log, stamped with its id, to a remote one, and to one that fails and is suspended."""
+    path = _folder(spark, "sinks")
+
+    def broken(batch, batch_id):
+        raise OSError("no such cluster")
+
+    suspensions = log.Suspensions(spark, f"{path}/suspended")
+    write = log.fan_out(log.log_sinks(f"{path}/local", {"remote": f"{path}/remote"}, 4) | {"broken": broken}, suspensions)
+    events = _nested_events(spark, sf_dir)
+    for batch in range(2):
+        write(events.where(F.col("tx_id") % 2 == batch), batch)
+    assert suspensions.now() == {"broken": 0}
+    read = lambda s: spark.read.parquet(f"{path}/{s}").select(F.lit(s).alias("sink"), "tx_id", (F.unix_millis("timestamp") if s == "local" else F.lit(None).cast("long")).alias("stamp"))
+    return read("local").union(read("remote"))
+
+
+@query("SELECT event_id AS tx_id, user_id AS key FROM events WHERE event_type = 'purchase'")
+def commit_log_whole(spark, sf_dir):
+    """The older commit log: whole transactions, here those that purchases committed."""
+    path = _folder(spark, "commits")
+    log.commit_transactions(_nested_events(spark, sf_dir), _events(spark, sf_dir).where("cache = 'purchase'"), path, 4)
+    return log.read_log(spark, path).select("tx_id", F.inline("scope")).select("tx_id", F.explode("keys").alias("key"))
+
+
+@query("SELECT user_id % 3 AS reader_id, event_id AS tx_id, event_type AS cache FROM events WHERE event_type <> 'purchase'")
+def resent_scopes(spark, sf_dir):
+    buffer = _nested_events(spark, sf_dir).join(_table(spark, sf_dir, "events").select(F.col("event_id").alias("tx_id"), (F.col("user_id") % 3).alias("reader_id")), "tx_id")
+    out = log.resent(buffer, _events(spark, sf_dir).where("cache = 'purchase'"))
+    return out.select("reader_id", "tx_id", F.inline("scope")).select("reader_id", "tx_id", "cache")
+
+
+_APPLIED = """ids AS (SELECT DISTINCT event_id AS id FROM events), f AS (SELECT coalesce(max(id), -1) AS frontier FROM (SELECT id, id - row_number() OVER (ORDER BY id) AS d FROM ids) WHERE d = -1)"""
+
+
+def _applied(spark, sf_dir, blocked=None):
+    """The log of all events in three files' turns, through the stream."""
+    path = _folder(spark, "stream")
+    log.append_log(_nested_events(spark, sf_dir).repartition(3, "tx_id"), f"{path}/log", 1)
+    applier = LogApplier(spark, f"{path}/state", blocked, compact=2)
+    query = applier.start(log.stream_log(spark, f"{path}/log", 1), f"{path}/check", available_now=True)
+    query.awaitTermination()
+    return applier.table()
+
+
+@query(f"""WITH {_APPLIED} SELECT event_type AS cache, user_id AS key, max(event_id) AS tx_id, CAST(arg_max(value, event_id) AS VARCHAR) IS NOT NULL AS known FROM events, f
+    WHERE event_id <= frontier AND event_type <> 'error' GROUP BY 1, 2""")
+def log_applied(spark, sf_dir):
+    """The table after the stream has applied the whole log, out of order as its files come."""
+    return _applied(spark, sf_dir).select("cache", "key", "tx_id", F.col("value").isNotNull().alias("known"))
+
+
+@query(f"""WITH {_APPLIED}, b AS (SELECT event_id, event_type, user_id, value, max(CASE WHEN event_type = 'view' AND event_id % 50 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS late FROM events, f WHERE event_id <= frontier)
+    SELECT event_type AS cache, user_id AS key, max(event_id) AS tx_id, CAST(arg_max(value, event_id) AS VARCHAR) IS NOT NULL AS known FROM b WHERE late = 0 AND event_type <> 'error' GROUP BY 1, 2""")
+def log_planned(spark, sf_dir):
+    """The same where some views are in progress: they and what depends on them wait."""
+    out = _applied(spark, sf_dir, lambda scope: scope.where("cache = 'view' and tx_id % 50 = 0").select("tx_id"))
+    return out.select("cache", "key", "tx_id", F.col("value").isNotNull().alias("known"))
+
+
+# --- small rules over whole tables ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_IDS} SELECT prev + 1 AS first, id - 1 AS last FROM (SELECT id, coalesce(lag(id) OVER (ORDER BY id), -1) AS prev FROM ids) WHERE id - prev > 1")
+def gap_ranges(spark, sf_dir):
+    return frontier.gap_ranges(_line_ids(spark, sf_dir)).select("first", "last")
+
+
+@query("SELECT DISTINCT topic_partition FROM (SELECT event_id % 4 AS topic_partition FROM events UNION ALL SELECT user_id % 6 FROM events)")
+def topic_partitions(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return frontier.topic_partitions(e.select((F.col("event_id") % 4).alias("topic_partition")), e.select((F.col("user_id") % 6).alias("topic_partition")))
+
+
+@query("SELECT event_id % 4 AS topic_partition, max(event_id) FILTER (WHERE event_type <> 'error') >= max(event_id) AS alive FROM events GROUP BY 1")
+def caught_up(spark, sf_dir):
+    ends = _offsets(spark, sf_dir).groupBy("topic_partition").agg((F.max("offset") + 1).alias("end_offset"))
+    return frontier.caught_up(_offsets(spark, sf_dir).where("committed"), ends)
+
+
+@query("SELECT l_orderkey AS tx_id FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
+def merged_ids(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    return frontier.merge_ids(_table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("tx_id")), o.select("tx_id"), o.where("status = 'P'").select("tx_id"))
+
+
+@query("""WITH d AS (SELECT count(*) = 0 AS disjoint FROM (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'O' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'))
+    SELECT DISTINCT 'customer' AS cache, o_custkey AS key, disjoint FROM orders, d""")
+def scope_union(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    union, disjoint = conflict.add_to_scope(o.where("status <> 'O'"), o.where("status = 'O'"))
+    return union.withColumn("disjoint", F.lit(disjoint))
+
+
+@query("SELECT DISTINCT user_id AS reader_id FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+def finally_dead(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("reader_id"), "event_type")
+    return readers.finally_dead(e.where("event_type = 'signup'").select("reader_id").distinct(), e.where("event_type = 'error'"))
+
+
+@query("SELECT topic_partition, \"offset\" FROM (SELECT event_id % 8 AS topic_partition, event_id AS \"offset\" FROM events) WHERE topic_partition IN (SELECT user_id % 5 FROM events)")
+def retained_partitions(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    return readers.retained(e.select((F.col("event_id") % 8).alias("topic_partition"), F.col("event_id").alias("offset")), e.select((F.col("user_id") % 5).alias("topic_partition")))
+
+
+@query("""SELECT reader_id, tx_id // 1000 AS chunk, CAST(count(*) AS BIGINT) AS handed, arg_min(tx_id, (late, tx_id)) AS first_tx, arg_max(tx_id, (late, tx_id)) AS last_tx FROM
+    (SELECT o_orderkey % 4 AS reader_id, o_orderkey AS tx_id, o_orderstatus = 'P' AS late FROM orders WHERE o_orderstatus <> 'F') GROUP BY 1, 2""")
+def joined_responses(spark, sf_dir):
+    """Open orders' answer with that of pending ones behind it, list by list."""
+    o = _orders(spark, sf_dir)
+    lists = lambda s: commit.by_reader(o.where(f"status = '{s}'").select("tx_id", "reader_id"), 1000)
+    out = commit.joined_responses(lists("O"), lists("P"))
+    return out.select("reader_id", "chunk", F.size("tx_ids").cast("long").alias("handed"), F.get("tx_ids", F.lit(0)).alias("first_tx"), F.element_at("tx_ids", -1).alias("last_tx"))
+
+
+@query(f"WITH {_GAPS} SELECT tx_id FROM g WHERE tx_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def gap_fillers(spark, sf_dir):
+    scope = F.array(F.struct(F.col("cache"), F.array("key").alias("keys")))
+    records = _orders(spark, sf_dir).where("status <> 'P'").select("tx_id", scope.alias("scope"))
+    out = reconcile.repair(frontier.gaps(_line_ids(spark, sf_dir)), records)
+    return out.where(reconcile.is_filler(F.col("scope"))).select("tx_id")
+
+
+@query("SELECT event_id AS tx_id, event_type = 'error' AS deleted FROM events")
+def row_tombstones(spark, sf_dir):
+    """Errors leave no value: rows whose fields are all null are deletes; a mark in the first field is one, too."""
+    e = _table(spark, sf_dir, "events")
+    mark = F.when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0), "TOMBSTONE")
+    value = F.when(F.col("event_type") != "error", F.coalesce(F.col("value").cast("string"), F.lit("")))
+    rows = e.select(F.col("event_id").alias("tx_id"), mark.alias("a"), value.alias("b"))
+    return rows.select("tx_id", apply.tombstone(["a", "b"], "TOMBSTONE").alias("deleted"))
+
+
+@query("SELECT event_id AS tx_id FROM events WHERE user_id % 2 = 0")
+def main_origin(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("origin", F.when(F.col("key") % 2 == 0, "main").otherwise("replica"))
+    return apply.main_origin(e).select("tx_id")
+
+
+@query("SELECT n_nationkey AS key, n_name AS name, n_regionkey AS region FROM nation")
+def ordered_fields(spark, sf_dir):
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("key"))
+    return model.ordered_columns(rows, {"name": 1, "region": 2, "key": 0})
+
+
+@query("SELECT s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '{\"s_name\":\"' || s_name || '\"}' END AS value FROM supplier")
+def rebuilt_values(spark, sf_dir):
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), "s_name", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("val"))
+    return rows.select("key", model.rebuilt(rows, ["s_name"]).alias("value"))
+
+
+_TICKS = "t AS (SELECT event_type, floor(epoch_us(ts) / 5000000) AS tick, count(*) AS n FROM events GROUP BY 1, 2), z AS (SELECT event_type, min(tick) AS a, max(tick) AS b FROM t GROUP BY 1)"
+_RATE = "round(sum(n * pow(exp(-5 / (60.0 * {0})), b - tick) * CASE WHEN tick = a THEN 1 ELSE 1 - exp(-5 / (60.0 * {0})) END) / 5, 9) AS m{0}"
+
+
+@query(f"WITH {_TICKS} SELECT event_type, {', '.join(_RATE.format(m) for m in (1, 5, 15))} FROM t JOIN z USING (event_type) GROUP BY event_type")
+def moving_rates(spark, sf_dir):
+    out = metrics.moving_rates(_table(spark, sf_dir, "events"), ["event_type"], "ts")
+    return out.select("event_type", *(F.round(f"m{m}", 9).alias(f"m{m}") for m in (1, 5, 15)))
+
+
 # --- metrics and workloads --------------------------------------------------------------------------------------------
 
 

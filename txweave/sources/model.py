@@ -29,6 +29,11 @@ def table_schema(fields: dict[str, str]) -> T.StructType:
     return T.StructType([T.StructField(n, COLUMN_TYPES.get(t, T.BinaryType())) for n, t in named.items()])
 
 
+def ordered_columns(rows: DataFrame, index: dict[str, int]) -> DataFrame:
+    """`rows` with its fields in the order of their index, as a descriptor lists them."""
+    return rows.select(*sorted(index, key=lambda name: index[name]))
+
+
 def needs_serialization(kind: T.DataType) -> bool:
     """Is a value of this type stored as bytes? Numbers, strings and dates are not; booleans, as in the source, are."""
     return not isinstance(kind, T.NumericType | T.StringType | T.DateType | T.TimestampType | T.TimestampNTZType | T.NullType)
