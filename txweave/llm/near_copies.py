@@ -5,10 +5,11 @@ are one class. The deletion variants of `simhash` propose the classes whose fing
 differ in some ten bits of 64, which no affordable number of variants covers; so classes also meet in the buckets of a
 MinHash index (24 bands of 5 rows: a pair at 0.8 is missed by all bands once in 14 000, one at 0.9 hardly ever). A link
 is made only where the similarity of the whole sets, counted exactly, is high enough. No list of all pairs of a bucket is written: first each member is compared with the least one of its
-bucket, which settles most buckets; where members of a bucket are still in different components, the pairs between
-components are compared where the bucket is, but those whose MinHash values agree in so few places (SURE) that 0.8 is out
-of reach but once in some 10 000. Only links leave: members that are similar to few of a large bucket cost comparisons,
-not rows. Large buckets are dealt as pairs of blocks, so no task holds one. Components are as in `simhash`.
+bucket, which settles most buckets. Where members of a bucket are still in different components, buckets that share
+members meet as one group, to which each member goes once, with its set; there the pairs across components that share a
+bucket are compared, but those whose MinHash values agree in so few places (SURE) that 0.8 is out of reach but once in
+some 10 000. Only links leave: members that are similar to few of a large group cost comparisons, not rows. Large groups
+are dealt as pairs of blocks, so no task holds one. Components are as in `simhash`.
 
 Edge cases: null, empty and blank texts are one class; texts of fewer than five words are one shingle; long texts are
 hashed whole, in blocks; null doc_ids come last, repeated rows are kept once; an empty table gives an empty result.
@@ -35,7 +36,7 @@ LEAST = (4, 5)
 BANDS, ROWS = 24, 5
 #: Of BANDS * ROWS MinHash values, so many agree at least where pairs between components are compared.
 SURE = 78
-#: Members of a bucket that are compared in one task, and sets that are counted at a time.
+#: Members of a group that are compared in one task, and sets that are counted at a time.
 BLOCK = 4096
 COUNTED = 64
 _BLOCK = 1 << 11
@@ -125,7 +126,7 @@ def _sizes_fit(x, y):
 
 
 class Member(NamedTuple):
-    """The members of one bucket, or of two blocks of a large one."""
+    """The members of one group, or of two blocks of a large one."""
 
     node: np.ndarray
     n: np.ndarray
@@ -136,11 +137,12 @@ class Member(NamedTuple):
     hashes: list[np.ndarray]  # sorted
 
 
-def bridges(m: Member, band: int) -> list[tuple[int, int]]:
-    """Links between components of a bucket: whatever pair across is similar enough, its parts are linked.
+def bridges(m: Member) -> list[tuple[int, int]]:
+    """Links between components of a group: whatever pair across that shares a bucket is similar enough, its parts are
+    linked.
 
-    A pair is looked at in the first band that it shares; in that bucket too its components differ. Pairs whose MinHash
-    values agree in too few places are left out, the others are counted, and none is written but those that link."""
+    Pairs whose MinHash values agree in too few places are left out, the others are counted, and none is written but
+    those that link."""
     _, inverse, count = np.unique(m.comp, return_inverse=True, return_counts=True)
     order = np.lexsort((inverse, count[inverse]))  # the largest component last: its members start no comparison
     root = np.arange(len(count))
@@ -156,7 +158,7 @@ def bridges(m: Member, band: int) -> list[tuple[int, int]]:
             fit &= m.block[later] != m.block[i]
         later = later[fit]
         later = later[(m.sig[later] == m.sig[i]).sum(axis=1) >= SURE]
-        later = later[~(m.keys[later, :band] == m.keys[i, :band]).any(axis=1)]
+        later = later[(m.keys[later] == m.keys[i]).any(axis=1)]
         while len(later):
             some, later = later[:COUNTED], later[COUNTED:]
             other = np.concatenate([m.hashes[j] for j in some.tolist()])
@@ -172,11 +174,11 @@ def bridges(m: Member, band: int) -> list[tuple[int, int]]:
 
 
 def across(members: DataFrame, most: int = BLOCK) -> DataFrame:
-    """a, b: links between different components that share a bucket; members: key, band, set, n, comp, sig, keys, hashes
-    of open buckets. Buckets of more than `most` members are dealt as pairs of blocks."""
+    """a, b: links between different components that share a bucket; members: root (of the group), set, n, comp, sig,
+    keys, hashes. Groups of more than `most` members are dealt as pairs of blocks."""
 
     def links_of(rows: pa.Table) -> pa.RecordBatch:
-        key, one, two, band, node, n, comp, block = (rows.column(c).to_numpy() for c in ("key", "one", "two", "band", "set", "n", "comp", "block"))
+        key, one, two, node, n, comp, block = (rows.column(c).to_numpy() for c in ("root", "one", "two", "set", "n", "comp", "block"))
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(key), BANDS * ROWS)
         keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(key), BANDS)
         flat, sizes = rows.column("hashes").combine_chunks().flatten().to_numpy().view(np.uint64), n
@@ -185,7 +187,7 @@ def across(members: DataFrame, most: int = BLOCK) -> DataFrame:
         cuts = np.r_[0, np.flatnonzero(new) + 1, len(key)].tolist()
         out = []
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            out += bridges(Member(node[i:j], n[i:j], comp[i:j], block[i:j], sig[i:j], keys[i:j], hashes[i:j]), int(band[i]))
+            out += bridges(Member(node[i:j], n[i:j], comp[i:j], block[i:j], sig[i:j], keys[i:j], hashes[i:j]))
         pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
@@ -198,7 +200,7 @@ def across(members: DataFrame, most: int = BLOCK) -> DataFrame:
             if size < 32 << 20:
                 continue
             whole = pa.concat_tables(held)
-            key, one, two = (whole.column(c).to_numpy() for c in ("key", "one", "two"))
+            key, one, two = (whole.column(c).to_numpy() for c in ("root", "one", "two"))
             last = np.flatnonzero((key != key[-1]) | (one != one[-1]) | (two != two[-1]))  # rows come sorted: the last group may go on
             end = int(last[-1]) + 1 if len(last) else 0
             if end:
@@ -208,11 +210,11 @@ def across(members: DataFrame, most: int = BLOCK) -> DataFrame:
         if held and sum(t.num_rows for t in held):
             yield links_of(pa.concat_tables(held))
 
-    counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
-    dealt = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    counts = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
+    dealt = members.join(counts, "root").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"), "band", "set", "n", "comp", "block", "sig", "keys", "hashes")
-    group = ["key", "one", "two"]
+    dealt = dealt.select("root", F.least("block", "_other").alias("one"), F.greatest("block", "_other").alias("two"), "set", "n", "comp", "block", "sig", "keys", "hashes")
+    group = ["root", "one", "two"]
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
 
 
@@ -221,19 +223,21 @@ def near_copies(docs: DataFrame, most: int = BLOCK) -> DataFrame:
     links, first tells the rows that stand for their component: its least (doc_id, text_hash), nulls last."""
     rows = cut(sketches(docs))
     classes = cut(rows.select("set", "n", "fp", "keys", "sig").dropDuplicates(["set"]))
-    buckets = cut(classes.select("set", "n", F.posexplode("keys").alias("band", "key")).withColumn("_m", F.struct("set", "n")))
+    buckets = cut(classes.select("set", "n", F.explode("keys").alias("key")).withColumn("_m", F.struct("set", "n")))
     least = buckets.groupBy("key").agg(F.min("_m").alias("_c"), F.max("set").alias("_x")).where("_c.set <> _x").select("key", "_c")
     tried = buckets.join(least, "key").where((F.col("set") != F.col("_c.set")) & _sizes_fit(F.col("n"), F.col("_c.n")))
     tried = tried.select(F.least("_c.set", "set").alias("a"), F.greatest("_c.set", "set").alias("b"))
     tried = cut(tried.union(proposed(classes)).distinct())
     found = cut(similar(docs, rows, tried))
     roots = components(found)
-    member = buckets.drop("_m").join(roots, buckets["set"] == roots["node"], "left").select("key", "band", "set", "n", F.coalesce("root", "set").alias("comp"))
+    member = buckets.drop("_m").join(roots, buckets["set"] == roots["node"], "left").select("key", "set", F.coalesce("root", "set").alias("comp"))
     open_keys = member.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
     member = cut(member.join(open_keys, "key"))
-    wanted = member.select("set").distinct()
-    whole = cut(classes.select("set", "sig", "keys").join(_sets(docs, rows, wanted), "set"))
-    found = cut(found.union(across(member.join(whole, "set"), most)))
+    shared = member.join(member.groupBy("key").agg(F.min("set").alias("b")), "key").select(F.col("set").alias("a"), "b")
+    groups = components(cut(shared.where("a <> b").distinct()))
+    wanted = cut(member.select("set", "comp").distinct())
+    whole = wanted.join(classes.select("set", "n", "sig", "keys"), "set").join(_sets(docs, rows, wanted.select("set")), "set")
+    found = cut(found.union(across(cut(whole.join(groups, F.col("set") == F.col("node"))), most)))
     roots = components(found)
     mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     heads = rows.groupBy("set").agg(F.min(mine).alias("least"), F.count(F.lit(1)).alias("rows"))
