@@ -84,6 +84,7 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(cache.alias("cache"), _day().alias("snapshot_id"), F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("value"), (F.col("event_type") == "error").alias("is_delete"))
 
 
+_KV = "cache string, snapshot_id bigint, key bigint, seq bigint, value double, is_delete boolean"
 _TREE = f"""tree AS (SELECT DISTINCT {_DAY} AS id,
   CASE WHEN {_DAY} = 0 THEN NULL WHEN ({_DAY}) % 7 = 0 THEN {_DAY} - 7 ELSE {_DAY} - 1 END AS parent_id FROM events)"""
 _VERSIONS = f"""kv AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS cache, {_DAY} AS snapshot_id, user_id AS key,
@@ -666,7 +667,7 @@ def backup_restored(spark, sf_dir):
     kv, tree = _versions(spark, sf_dir), _tree(spark, sf_dir)
     path = _folder(spark, "backup")
     after = backup.full_backup(kv, tree, _LAST, 100, path)
-    rows, _, _ = backup.restore_all(kv.where("snapshot_id % 2 = 0"), after, path, model.VERSIONS, spark.range(0))
+    rows, _, _ = backup.restore_all(kv.where("snapshot_id % 2 = 0"), after, path, _KV, spark.range(0))
     return rows.groupBy("cache", "snapshot_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("seq").alias("seqs"), F.count_if("is_delete").alias("deletes"))
 
 
@@ -677,7 +678,7 @@ def restore_invalidated_keys(spark, sf_dir):
     path = _folder(spark, "backup")
     days = tree.where(F.col("id") < tree.agg(F.max("id")).first()[0])
     backup.export(kv, days, path, days)
-    return backup.restore_all(kv, tree, path, model.VERSIONS, spark.range(0))[2]
+    return backup.restore_all(kv, tree, path, _KV, spark.range(0))[2]
 
 
 # --- the log, written and read ----------------------------------------------------------------------------------------
