@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 from public_tokenizers import path
+from test_near_copies import plain_groups, plain_sets
 from test_operators import plain_base, plain_components, plain_fingerprint, words
 from tokenizers import Tokenizer
 
@@ -131,7 +132,7 @@ def test_pipeline(spark, docs):
         if len(w) >= 10 and 100 * len(cover) <= 20 * len(w):
             good[i] = d.text
     ids = sorted(good)
-    roots = plain_components([plain_fingerprint(good[i]) for i in ids])
+    roots = plain_groups(plain_sets([good[i] for i in ids]))
     first = [ids[r] for r in sorted(set(roots))]
 
     def redacted(t):
