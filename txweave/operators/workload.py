@@ -20,6 +20,13 @@ def transfers(ids: DataFrame, accounts: int, tx: Column) -> DataFrame:
     return ids.select(tx.alias("tx_id"), payer.alias("from_account"), to.alias("to_account"), amount.cast("long").alias("amount"), (payer % PARTITIONS).alias("account_partition"))
 
 
+def payments(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """The same from real orders: each line item pays its supplier, whose account has a negative number, in cents."""
+    paid = lines.select(F.col("l_orderkey").alias("tx_id"), (-F.col("l_suppkey")).alias("to_account"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("amount"))
+    payer = orders.select(F.col("o_orderkey").alias("tx_id"), F.col("o_custkey").alias("from_account"))
+    return paid.join(payer, "tx_id").select("tx_id", "from_account", "to_account", "amount", (F.col("from_account") % PARTITIONS).alias("account_partition"))
+
+
 def balances(moves: DataFrame) -> DataFrame:
     """account, balance, transactions: what came in less what went out.
 

@@ -919,23 +919,27 @@ def counter_sum(spark, sf_dir):
     return metrics.counter(_table(spark, sf_dir, "events"), ["event_type"], F.col("user_id"))
 
 
-_MOVES = """m AS (SELECT o_orderkey AS tx_id, o_orderkey % 1000 AS a, CASE WHEN (o_orderkey * 7 + 3) % 1000 = o_orderkey % 1000 THEN ((o_orderkey * 7 + 3) % 1000 + 1) % 1000 ELSE (o_orderkey * 7 + 3) % 1000 END AS b,
-  CASE WHEN o_orderkey % 157 = 0 THEN 1 ELSE o_orderkey % 157 END AS amount FROM orders)"""
+#: Every line item is a payment of its order's customer to its supplier, whose account has a negative number; in cents.
+_MOVES = """m AS (SELECT l_orderkey AS tx_id, o_custkey AS a, -l_suppkey AS b, CAST(round(l_extendedprice * 100) AS BIGINT) AS amount FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
+
+
+def _moves(spark, sf_dir):
+    return workload.payments(_table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem"))
 
 
 @query(f"WITH {_MOVES} SELECT tx_id, a AS from_account, b AS to_account, amount, a % 128 AS account_partition FROM m")
 def transfers(spark, sf_dir):
-    return workload.transfers(_table(spark, sf_dir, "orders"), 1000, F.col("o_orderkey"))
+    return _moves(spark, sf_dir)
 
 
 @query(f"WITH {_MOVES} SELECT account, CAST(sum(change) AS BIGINT) AS balance, CAST(count(*) AS BIGINT) AS transactions FROM (SELECT a AS account, -amount AS change FROM m UNION ALL SELECT b, amount FROM m) GROUP BY account")
 def account_balance(spark, sf_dir):
-    return workload.balances(workload.transfers(_table(spark, sf_dir, "orders"), 1000, F.col("o_orderkey")))
+    return workload.balances(_moves(spark, sf_dir))
 
 
-@query(f"WITH {_MOVES} SELECT tx_id, a AS from_account FROM m WHERE tx_id > (SELECT min(tx_id) FROM m o WHERE o.a = m.a)")
+@query("SELECT o_orderkey AS tx_id, o_custkey AS from_account FROM orders WHERE o_orderkey > (SELECT min(o_orderkey) FROM orders o WHERE o.o_custkey = orders.o_custkey)")
 def without_oldest(spark, sf_dir):
-    return workload.without_oldest(workload.transfers(_table(spark, sf_dir, "orders"), 1000, F.col("o_orderkey"))).select("tx_id", "from_account")
+    return workload.without_oldest(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx_id"), F.col("o_custkey").alias("from_account"))).select("tx_id", "from_account")
 
 
 @query("SELECT user_id, CAST(count(DISTINCT event_type) AS BIGINT) AS entries, arg_max(value, event_id) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY user_id")
