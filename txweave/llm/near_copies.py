@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txweave.llm.common import cut, slices
+from txweave.llm.common import cut, slices, stored
 from txweave.llm.simhash import by_label, components, links, majority, rows_of
 
 WIDTH = 5
@@ -104,7 +104,7 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b: classes) whose sets are similar enough, counted exactly."""
-    sets = cut(_sets(docs, rows, pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()))
+    sets = stored(_sets(docs, rows, pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()))
     a, b = (sets.select(F.col("set").alias(c), F.col("hashes").alias(f"_{c}")) for c in "ab")
     both = F.size(F.array_intersect("_a", "_b"))
     num, den = LEAST
@@ -221,23 +221,25 @@ def across(members: DataFrame, most: int = BLOCK) -> DataFrame:
 def near_copies(docs: DataFrame, most: int = BLOCK) -> DataFrame:
     """doc_id, text_hash, component_id, first of each row; component_id is the least doc_id of the rows reachable by
     links, first tells the rows that stand for their component: its least (doc_id, text_hash), nulls last."""
-    rows = cut(sketches(docs))
-    classes = cut(rows.select("set", "n", "fp", "keys", "sig").dropDuplicates(["set"]))
-    buckets = cut(classes.select("set", "n", F.explode("keys").alias("key")).withColumn("_m", F.struct("set", "n")))
-    least = buckets.groupBy("key").agg(F.min("_m").alias("_c"), F.max("set").alias("_x")).where("_c.set <> _x").select("key", "_c")
-    tried = buckets.join(least, "key").where((F.col("set") != F.col("_c.set")) & _sizes_fit(F.col("n"), F.col("_c.n")))
-    tried = tried.select(F.least("_c.set", "set").alias("a"), F.greatest("_c.set", "set").alias("b"))
+    rows = stored(sketches(docs))
+    classes = stored(rows.select("set", "n", "fp", "keys", "sig").dropDuplicates(["set"]))
+    buckets = classes.select(F.explode("keys").alias("key"), "set", "n")
+    least = buckets.groupBy("key").agg(F.min(F.struct("set", "n")).alias("_c"), F.max("set").alias("_x")).where("_c.set <> _x").select("key", "_c")
+    # Most buckets have one member and end here.
+    buckets = stored(buckets.join(least, "key").select("key", "set", "n", F.col("_c.set").alias("least"), F.col("_c.n").alias("least_n")))
+    tried = buckets.where((F.col("set") != F.col("least")) & _sizes_fit(F.col("n"), F.col("least_n")))
+    tried = tried.select(F.least("least", "set").alias("a"), F.greatest("least", "set").alias("b"))
     tried = cut(tried.union(proposed(classes)).distinct())
     found = cut(similar(docs, rows, tried))
     roots = components(found)
-    member = buckets.drop("_m").join(roots, buckets["set"] == roots["node"], "left").select("key", "set", F.coalesce("root", "set").alias("comp"))
+    member = buckets.join(roots, buckets["set"] == roots["node"], "left").select("key", "set", F.coalesce("root", "set").alias("comp"))
     open_keys = member.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("key")
     member = cut(member.join(open_keys, "key"))
     shared = member.join(member.groupBy("key").agg(F.min("set").alias("b")), "key").select(F.col("set").alias("a"), "b")
     groups = components(cut(shared.where("a <> b").distinct()))
     wanted = cut(member.select("set", "comp").distinct())
     whole = wanted.join(classes.select("set", "n", "sig", "keys"), "set").join(_sets(docs, rows, wanted.select("set")), "set")
-    found = cut(found.union(across(cut(whole.join(groups, F.col("set") == F.col("node"))), most)))
+    found = cut(found.union(across(stored(whole.join(groups, F.col("set") == F.col("node")).drop("node")), most)))
     roots = components(found)
     mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     heads = rows.groupBy("set").agg(F.min(mine).alias("least"), F.count(F.lit(1)).alias("rows"))
