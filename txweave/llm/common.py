@@ -49,6 +49,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def row_key(doc_id: Column, text_hash: Column) -> list[Column]:
+    """k1, k2: a key of 128 bits of a row's doc_id, null or not, and text."""
+    return [text_hash.alias("k1"), F.xxhash64(doc_id, text_hash, F.lit(5)).alias("k2")]
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system, whatever it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txweave.llm.common import SPACE_RE, WORD_RE, cut, stored, words
+from txweave.llm.common import SPACE_RE, WORD_RE, cut, row_key, stored, words
 
 #: Metric -> cutoffs tried, all fixed before any label is seen.
 RULES = {
@@ -164,10 +164,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of `docs` that are kept, with the same columns.
 
-    Rows are stored with their metrics, so that nothing is measured twice and no text is shuffled; choosing the cutoffs
-    reads the columns of metrics alone."""
+    Nothing is measured twice: what is rejected is stored as keys of doc_id and text, and the rest of the rows stays. As
+    the verdict depends on the text alone, rows of one key share it."""
     own = docs.columns
-    inner = docs.select(F.struct(*own).alias("_row"), F.col("text"), F.col("doc_id"))
-    measured = stored(with_metrics(inner).drop("text"))
-    cutoffs = choose_cutoffs(measured, labels, alpha, delta)
-    return judge(measured, cutoffs).where("kept").select(*(F.col("_row").getField(c).alias(c) for c in own))
+    inner = docs.select("doc_id", "text")
+    measured = cut(with_metrics(inner).withColumn("text_hash", F.xxhash64("text")).drop("text"))
+    judged = judge(measured, choose_cutoffs(measured, labels, alpha, delta))
+    rejected = stored(judged.where("not kept").select(*row_key(F.col("doc_id"), F.col("text_hash"))).distinct())
+    keyed = docs.select(F.struct(*own).alias("_row"), *row_key(F.col("doc_id"), F.xxhash64("text")))
+    return keyed.join(rejected, ["k1", "k2"], "left_anti").select(*(F.col("_row").getField(c).alias(c) for c in own))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txweave.llm.common import cut, slices
+from txweave.llm.common import cut, row_key, slices, stored
 
 WIDTH = 3
 SEED = 42
@@ -210,11 +210,13 @@ def by_label(rows: DataFrame, column: str, labels: DataFrame, heavy: int = HEAVY
 
 def rows_of(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """The rows of `docs` with a (doc_id, text_hash) of `firsts`; of rows that share it the one of the least hash."""
-    key = lambda doc_id, text_hash: F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")), F.lit(":"), text_hash.cast("string"))
-    keep = firsts.select(key(F.col("doc_id"), F.col("text_hash")).alias("_key")).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), key(F.col("doc_id"), F.xxhash64("text")).alias("_key"), F.xxhash64(*docs.columns).alias("_hash"))
-    rows = keyed.join(keep, "_key", "left_semi")
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_hash"))).where("_nth = 1")
+    # Stored, so that Spark knows its size; only rows that repeat, few as a rule, are put in order.
+    keep = stored(firsts.select(*row_key(F.col("doc_id"), F.col("text_hash"))).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows")))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(F.col("doc_id"), F.xxhash64("text")))
+    once = keyed.join(keep.where("rows = 1"), ["k1", "k2"], "left_semi").select("_row")
+    again = keyed.join(keep.where("rows > 1"), ["k1", "k2"], "left_semi").withColumn("_hash", F.xxhash64("_row"))
+    again = again.withColumn("_nth", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("_hash"))).where("_nth = 1")
+    rows = once.union(again.select("_row"))
     return rows.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
