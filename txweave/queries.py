@@ -804,10 +804,11 @@ def scope_union(spark, sf_dir):
     return union.withColumn("disjoint", F.lit(disjoint))
 
 
-@query("SELECT DISTINCT user_id AS reader_id FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+@query("SELECT DISTINCT o_custkey AS reader_id FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def finally_dead(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("reader_id"), "event_type")
-    return readers.finally_dead(e.where("event_type = 'signup'").select("reader_id").distinct(), e.where("event_type = 'error'"))
+    """Customers as readers: out of order with a pending order, their finished ones orphans."""
+    o = _orders(spark, sf_dir).select(F.col("key").alias("reader_id"), "status")
+    return readers.finally_dead(o.where("status = 'P'").select("reader_id").distinct(), o.where("status = 'F'"))
 
 
 @query("SELECT topic_partition, \"offset\" FROM (SELECT event_id % 8 AS topic_partition, event_id AS \"offset\" FROM events) WHERE topic_partition IN (SELECT user_id % 5 FROM events)")
