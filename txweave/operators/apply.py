@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txweave.operators.closure import closure
+from txweave.operators.closure import reach
 from txweave.operators.conflict import KEY
 from txweave.operators.prefix import prefixes
 
@@ -58,8 +58,7 @@ def successful_prefix(txs: DataFrame, failed: DataFrame) -> DataFrame:
 
 def surviving(scope: DataFrame, failed: DataFrame) -> DataFrame:
     """Parallel commits: tx_id of everything but failed ones and their transitive dependents."""
-    dead = closure(failed, scope)
-    return scope.select("tx_id").distinct().join(dead, "tx_id", "left_anti")
+    return reach(failed, scope).where("in_scope and not reached").select("tx_id")
 
 
 def surviving_single_keys(txs: DataFrame) -> DataFrame:

@@ -313,9 +313,9 @@ def _multi(spark, sf_dir):
 
 
 def _whole(spark, sf_dir):
-    """All orders with all their line items."""
+    """All orders with all their line items; a key may come twice, which closures and plans do not mind."""
     o = _orders(spark, sf_dir).select("tx_id", "reader_id", "cache", "key")
-    return o.unionByName(_lines(spark, sf_dir).join(o.select("tx_id"), "tx_id", "left_semi")).distinct()
+    return o.unionByName(_lines(spark, sf_dir).join(o.select("tx_id"), "tx_id", "left_semi"))
 
 
 @query(f"""WITH {_SCOPE} SELECT DISTINCT tx_id FROM (SELECT tx_id, reader_id, min(reader_id) OVER w AS lo, max(reader_id) OVER w AS hi FROM t
