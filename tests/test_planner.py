@@ -64,6 +64,18 @@ def test_single_key_plan_and_multi_key_plan_equal_the_scan(spark):
             assert sorted(r.tx_id for r in commit.plan_single_key(rows, F.col("in_progress")).collect()) == by_scan(txs, bad)
 
 
+def test_first_conflict_of_a_key_stands_for_the_later_ones(spark):
+    rng = random.Random(2)
+    readers_of = {t: rng.choice(("A", "B", "C", None)) for t in range(200)}
+    rows = [(t, "c", rng.randrange(30), readers_of[t]) for t in range(200)] + [(t, "d", 1, "A") for t in range(50)] + [(t, "e", 2, None if t < 9 else "B" if t % 10 else "A") for t in range(40)]
+    scope = spark.createDataFrame(rows, "tx_id long, cache string, key long, reader_id string")
+    want = set()
+    for at in {r[1:3] for r in rows}:
+        mine = sorted((t, r) for t, c, k, r in rows if (c, k) == at and r)
+        want |= {next((t for t, r in mine if r != mine[0][1]), None)} if mine else set()
+    assert {r.tx_id for r in conflict.first_conflicts(scope).collect()} == want - {None}
+
+
 def test_prefixes_cross_segments(spark):
     from txweave.operators.prefix import prefixes
 

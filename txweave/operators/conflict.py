@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txweave.operators.prefix import prefixes
@@ -60,6 +60,15 @@ def reader_conflicts(scope: DataFrame) -> DataFrame:
     return rows.where("low <> reader_id or high <> reader_id").select("tx_id").distinct()
 
 
+def first_conflicts(scope: DataFrame) -> DataFrame:
+    """tx_id of the first such transaction of each key; all later ones of the key depend on it.
+
+    That is the second of the readers' first transactions, so a key comes down to a row for each reader before it is dealt."""
+    firsts = scope.where("cache is not null and key is not null and reader_id is not null").groupBy(*KEY, "reader_id").agg(F.min("tx_id").alias("tx_id"))
+    order = F.row_number().over(Window.partitionBy(*KEY).orderBy("tx_id"))
+    return firsts.withColumn("_n", order).where("_n <= 2").where("_n = 2").select("tx_id").distinct()
+
+
 def touching(scope: DataFrame, keys: DataFrame) -> DataFrame:
     """tx_id of transactions that meet a set of (cache, key)."""
     return scope.join(keys.select(*KEY).distinct(), KEY, "left_semi").select("tx_id").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txweave.operators.closure import closure
-from txweave.operators.conflict import KEY, reader_conflicts
+from txweave.operators.conflict import KEY, first_conflicts
 from txweave.operators.prefix import prefixes
 
 
@@ -38,7 +38,7 @@ def plan(scope: DataFrame, txs: DataFrame) -> DataFrame:
     without keys is planned unless bad by itself."""
     owned = scope.join(txs.select("tx_id", "reader_id"), "tx_id")
     own = txs.where("in_progress or lost or orphan").select("tx_id")
-    bad = own.union(reader_conflicts(owned)).distinct()
+    bad = own.union(first_conflicts(owned))
     blocked = closure(bad, scope)
     return txs.join(blocked, "tx_id", "left_anti").select("tx_id", "reader_id")
 
