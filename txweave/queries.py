@@ -309,7 +309,7 @@ _MULTI = """t AS (SELECT DISTINCT o_orderkey AS tx_id, o_orderkey % 4 AS reader_
 def _multi(spark, sf_dir):
     o = _orders(spark, sf_dir).where("status = 'P'").select("tx_id", "reader_id", "cache", "key")
     parts = _lines(spark, sf_dir).select("tx_id", "cache", "key").join(o.select("tx_id", "reader_id"), "tx_id")
-    return o.unionByName(parts).distinct()
+    return o.unionByName(parts)
 
 
 def _whole(spark, sf_dir):
