@@ -5,7 +5,8 @@ import time
 import pandas as pd
 from pyspark.sql import functions as F
 
-from txweave.operators import apply
+from txweave import queries
+from txweave.operators import apply, frontier
 from txweave.sources import log, model
 from txweave.streaming.apply import LogApplier
 from txweave.streaming.heartbeats import beat, liveness
@@ -93,3 +94,32 @@ def test_heartbeats_as_a_stream(spark, tmp_path):
     finally:
         query.stop()
     assert sorted(tuple(r) for r in seen) == [("a", "found", 2), ("b", "found", 1)]
+
+
+def test_a_turn_takes_several_files(spark, tmp_path, monkeypatch):
+    # One task would write, and one read, all of a turn, however large the log is.
+    monkeypatch.setattr(queries, "_FILE", 50, raising=False)
+    monkeypatch.setattr(queries, "_folder", lambda spark, name: f"{tmp_path}/{name}")
+    got = queries.log_planned(spark, "/root/testdata/sf0.001").collect()
+    assert len(list(tmp_path.glob("stream/log/part-*"))) > 3
+    assert len(list(tmp_path.glob("stream/check/commits/[0-9]*"))) == 3
+    monkeypatch.undo()
+    assert sorted(got) == sorted(queries.log_planned(spark, "/root/testdata/sf0.001").collect())
+
+
+def test_rows_without_entries_are_known_row_by_row(spark):
+    scopes = [None, [], [("c", None)], [("c", [])], [("c", [1])], [("c", [1, 2])], [("c", []), ("d", [3])], [None]]
+    values = [None, [], [None], [[]], [["v"]], [[None]], [[], ["w"]]]
+    rows = [(t, s, v) for t, (s, v) in enumerate((s, v) for s in scopes for v in values)]
+    rows = spark.createDataFrame(rows, f"tx_id long, scope {model.SCOPE}, `values` array<array<string>>")
+    held = {r.tx_id for r in model.unnested(rows).collect()}
+    assert sorted(r.tx_id for r in model.bare(rows).collect()) == [t for t in range(len(scopes) * len(values)) if t not in held]
+    assert 0 < len(held) < len(scopes) * len(values)
+
+
+def test_frontier_over_segments(spark, monkeypatch):
+    monkeypatch.setattr(frontier, "SEGMENT", 4)
+    for start in (-1, 2):
+        for ids in ([], [0, 1], range(9), range(3, 7), [*range(12), 14], [*range(3, 12), 10], [4, 5], range(3, 11), [*range(7), *range(8, 20)]):
+            frame = spark.createDataFrame([(t,) for t in ids], "tx_id long")
+            assert frontier.frontier_value(frame, start) == frontier.frontier(frame, start).first()[0]

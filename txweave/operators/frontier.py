@@ -14,6 +14,8 @@ from txweave.operators.prefix import prefixes
 NOT_READY, READY = -2, -1
 #: Missing ids that one row lists at most.
 PIECE = 1 << 16
+#: Ids of a segment that is counted before ids are compared.
+SEGMENT = 1 << 16
 
 
 def distinct_ids(df: DataFrame, column: str = "tx_id") -> DataFrame:
@@ -29,7 +31,18 @@ def frontier(ids: DataFrame, start: int | None = READY) -> DataFrame:
 
 
 def frontier_value(ids: DataFrame, start: int = READY) -> int:
-    return frontier(ids, start).first()[0]
+    """The same as a number. Segments are counted, and only ids of the first that is not full meet their successors."""
+    after = ids.where(F.col("tx_id") > start)
+    segment = F.expr(f"(tx_id - {start + 1}) div {SEGMENT}")
+    full = after.groupBy(segment.alias("tx_id")).agg(F.count_distinct("tx_id").alias("n")).where(F.col("n") == SEGMENT).select("tx_id")
+    low = start + (_end(full, READY) + 1) * SEGMENT
+    return _end(ids.where(F.col("tx_id").between(low + 1, low + SEGMENT)), low)
+
+
+def _end(ids: DataFrame, start: int) -> int:
+    """The frontier of ids that all lie beyond `start`; no join where they have no hole."""
+    n, top = ids.agg(F.count_distinct("tx_id"), F.max("tx_id")).first()
+    return start + n if top in (None, start + n) else frontier(ids, start).first()[0]
 
 
 def gap_ranges(ids: DataFrame, start: int = READY) -> DataFrame:

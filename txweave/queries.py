@@ -745,12 +745,17 @@ def resent_scopes(spark, sf_dir):
 _APPLIED = """ids AS (SELECT DISTINCT event_id AS id FROM events), f AS (SELECT coalesce(max(id), -1) AS frontier FROM (SELECT id, id - row_number() OVER (ORDER BY id) AS d FROM ids) WHERE d = -1)"""
 
 
+#: Transactions of one log file, about.
+_FILE = 1 << 18
+
+
 def _applied(spark, sf_dir, blocked=None):
-    """The log of all events in three files' turns, through the stream."""
+    """The log of all events in three turns, each of as many files as it takes, through the stream."""
     path = _folder(spark, "stream")
-    log.append_log(_nested_events(spark, sf_dir).repartition(3, "tx_id"), f"{path}/log", 1)
+    files = -(-_table(spark, sf_dir, "events").count() // (3 * _FILE)) or 1
+    log.append_log(_nested_events(spark, sf_dir).repartition(3 * files, "tx_id"), f"{path}/log", 1)
     applier = LogApplier(spark, f"{path}/state", blocked, compact=2)
-    query = applier.start(log.stream_log(spark, f"{path}/log", 1), f"{path}/check", available_now=True)
+    query = applier.start(log.stream_log(spark, f"{path}/log", files), f"{path}/check", available_now=True)
     query.awaitTermination()
     return applier.table()
 

@@ -47,6 +47,7 @@ def scope_long(changes: DataFrame) -> DataFrame:
 def nested(changes: DataFrame) -> DataFrame:
     """tx_id, scope, values: caches in order, keys and values of a cache aligned by one sort."""
     row = F.struct("seq", "key", "value")
+    changes = changes.repartition("tx_id")  # both groupings keep to it
     per_cache = changes.groupBy("tx_id", "cache").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     per_tx = per_cache.groupBy("tx_id").agg(F.sort_array(F.collect_list(F.struct("cache", "rows"))).alias("caches"))
     scope = F.transform("caches", lambda c: F.struct(c["cache"].alias("cache"), F.transform(c["rows"], lambda r: r["key"]).alias("keys")))
@@ -63,6 +64,13 @@ def unnested(log: DataFrame) -> DataFrame:
     return pairs.select("tx_id", F.col("s.cache").alias("cache"), F.posexplode(zipped).alias("seq", "kv")).select("tx_id", "cache", "kv.key", F.col("seq").cast("long").alias("seq"), "kv.value")
 
 
+def bare(log: DataFrame) -> DataFrame:
+    """tx_id of the rows of a log that `unnested` takes no entry from."""
+    pairs = F.arrays_zip(F.col("scope").alias("s"), F.col("values").alias("v"))
+    held = F.exists(pairs, lambda p: F.coalesce((F.size(p["s"]["keys"]) > 0) & (F.size(p["v"]) > 0), F.lit(False)))
+    return log.where(~F.coalesce(held, F.lit(False))).select("tx_id")
+
+
 def spread(rows: DataFrame, key: str, value: str, schema: str) -> DataFrame:
     """The key and the fields of a JSON value as columns; all null where key or value is."""
     parsed = F.when(F.col(key).isNotNull(), F.from_json(value, schema))

@@ -21,8 +21,8 @@ from txweave.operators import apply as ops
 from txweave.operators.closure import closure
 from txweave.operators.conflict import KEY
 from txweave.operators.frontier import READY, distinct_ids, frontier_value, merge_compact
-from txweave.operators.state import cut, forget
-from txweave.sources.model import unnested
+from txweave.operators.state import forget
+from txweave.sources.model import bare, unnested
 
 CHANGE = "cache string, key bigint, tx_id bigint, seq bigint, value string, is_delete boolean"
 PENDING = "tx_id bigint, cache string, key bigint, seq bigint, value string"
@@ -30,7 +30,8 @@ DONE = "batch bigint, frontier bigint, base bigint"
 IDS = "tx_id bigint"
 COMPACT = 16
 
-#: tx_id, cache, key of the transactions that were read without a gap -> tx_id that may not be committed yet.
+#: tx_id, cache, key of the transactions that were read without a gap -> tx_id that may not be committed yet. A key comes
+#: once for each time that its transaction writes it.
 Blocked = Callable[[DataFrame], DataFrame]
 
 
@@ -48,6 +49,11 @@ class LogApplier:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.state}/{name}/{batch}")
 
+    def _stored(self, name: str, batch: int, df: DataFrame, schema: str) -> DataFrame:
+        """`df` from its folder, by columns, so that passes over ids alone read ids alone."""
+        df.write.mode("overwrite").parquet(f"{self.state}/{name}/{batch}")
+        return self._read(name, batch, schema)
+
     def _done(self) -> tuple[int, int, int]:
         """The last finished batch, the frontier of what is committed, and the batch of the table's base."""
         try:
@@ -78,26 +84,27 @@ class LogApplier:
         if batch <= last:  # already applied
             return
         entries = unnested(log)
-        empty = log.select("tx_id").distinct().join(entries.select("tx_id").distinct(), "tx_id", "left_anti")
         nothing = [F.lit(None).cast("string").alias("cache"), F.lit(None).cast("long").alias("key"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("value")]
-        fresh = entries.select("tx_id", "cache", "key", "seq", "value").unionByName(empty.select("tx_id", *nothing)).where(F.col("tx_id") > frontier)
+        fresh = entries.select("tx_id", "cache", "key", "seq", "value").unionByName(bare(log).select("tx_id", *nothing)).where(F.col("tx_id") > frontier)
         ahead = self._read("ahead", last, IDS)  # committed beyond the frontier
         fresh = fresh.join(ahead, "tx_id", "left_anti")
-        pending = self._read("pending", last, PENDING).unionByName(fresh).dropDuplicates(["tx_id", "cache", "key", "seq"])
-        pending = cut(pending)
-        seen = distinct_ids(pending).union(ahead)
-        dense = pending.where(F.col("tx_id") <= frontier_value(seen, frontier))
-        plan = dense.select("tx_id").distinct()
+        pending = self._read("pending", last, PENDING).unionByName(fresh).distinct()  # an entry read twice
+        pending = self._stored("read", batch, pending, PENDING)
+        read = frontier_value(distinct_ids(pending.select("tx_id").union(ahead)), frontier)
+        dense, waiting = pending.where(F.col("tx_id") <= read), pending.where(F.col("tx_id") > read)
+        due = dense
         if self.blocked is not None:
-            scope = dense.where("cache is not null").select("tx_id", *KEY).distinct()
-            plan = plan.join(closure(self.blocked(scope), scope), "tx_id", "left_anti")
-        plan = cut(plan)
-        due = dense.where("cache is not null").join(plan, "tx_id", "left_semi")
+            scope = dense.where("cache is not null").select("tx_id", *KEY)
+            late = self._stored("late", batch, closure(self.blocked(scope), scope), IDS)
+            due = dense.join(late, "tx_id", "left_anti")
+            waiting = waiting.union(dense.join(late, "tx_id", "left_semi"))
+        plan = due.select("tx_id")
+        due = due.where("cache is not null")
         changes = ops.latest(due.select(*KEY, "tx_id", "seq", "value", F.col("value").isNull().alias("is_delete")))
         changes.withColumn("seq", F.lit(0).cast("long")).select("cache", "key", "tx_id", "seq", "value", "is_delete").write.mode("overwrite").parquet(f"{self.state}/changes/{batch}")
         to, rest = merge_compact(ahead, plan, frontier)
         rest.write.mode("overwrite").parquet(f"{self.state}/ahead/{batch}")
-        pending.join(plan, "tx_id", "left_anti").write.mode("overwrite").parquet(f"{self.state}/pending/{batch}")
+        waiting.write.mode("overwrite").parquet(f"{self.state}/pending/{batch}")
         old = base
         for missing in range(last + 1, batch):  # numbers that the stream skipped
             self.spark.createDataFrame([], CHANGE).write.mode("overwrite").parquet(f"{self.state}/changes/{missing}")
@@ -107,6 +114,8 @@ class LogApplier:
         self.spark.createDataFrame([(batch, to, base)], DONE).coalesce(1).write.mode("overwrite").parquet(f"{self.state}/done/{batch}")
         for name in ("done", "pending", "ahead"):
             forget(self.spark, f"{self.state}/{name}/{last}")
+        for name in ("read", "late"):
+            forget(self.spark, f"{self.state}/{name}/{batch}")
         if base != old:
             for b in range(old + 1, base + 1):
                 forget(self.spark, f"{self.state}/changes/{b}")
